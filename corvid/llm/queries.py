@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import packing, simhash
+from corvid.llm import langid, packing, quality, simhash
 from corvid.plans.session import table
 
 
+def op1_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select(F.col("key").alias("doc_id"), "held_out", F.col("lang").alias("lang_pred"), "score", "distance", "rejected")
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -17,11 +23,16 @@ def op6_simhash(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.grade(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("key", "doc_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_simhash)}
+QUERIES = {f.__name__: f for f in (op1_langid, op5_packing, op6_simhash, op8_quality, pipeline)}
 ORACLES: dict[str, str] = {}
