@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import langid, packing, quality, simhash
+from corvid.llm import langid, packing, quality, simhash, warc
 from corvid.plans.session import table
 
 
@@ -14,6 +14,10 @@ def op1_langid(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), "held_out", F.col("lang").alias("lang_pred"), "score", "distance", "rejected")
 
 
+def op4_warc(spark, sf_dir):
+    return warc.visits(warc.round_trip(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -34,5 +38,14 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op5_packing, op6_simhash, op8_quality, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid, op4_warc, op5_packing, op6_simhash, op8_quality, pipeline)}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+        d as (select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p),
+        t as (select *, max(page_id) over (partition by payload_digest) as top from d)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+        from t""",
+}
