@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import langid, packing, quality, simhash, warc
+from corvid.llm import html_text, langid, packing, pieces, quality, simhash, warc
 from corvid.plans.session import table
 
 
@@ -27,18 +27,28 @@ def op6_simhash(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
+
+
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.grade(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("key", "doc_id")
 
 
+def op10_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op4_warc, op5_packing, op6_simhash, op8_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_langid, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op10_html_text, pipeline)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
