@@ -15,8 +15,9 @@ from corvid.plans.session import cut, ship
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
-#: Segments of four bits: sixteen popcounts from 0 to 4, kept in one long with four bits each.
-SEGMENTS, WIDTH = 16, 4
+#: Bits of each segment: 21 popcounts from 0 to 4, kept in one long with three bits each.
+SEGMENTS = (3,) * 20 + (4,)
+DIGIT = 3
 SLICE = 1 << 16
 
 
@@ -57,11 +58,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def popcounts(fp):
-    """A fingerprint's grid cell: the popcount of each segment, plus 1, in four bits."""
-    cell = F.lit(0).cast("long")
-    for i in range(SEGMENTS):
-        one = F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1))) + F.lit(1)
-        cell = cell.bitwiseOR(F.shiftleft(one.cast("long"), WIDTH * i))
+    """A fingerprint's grid cell: the popcount of each segment, plus 1, in three bits."""
+    cell, at = F.lit(0).cast("long"), 0
+    for i, width in enumerate(SEGMENTS):
+        one = F.bit_count(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))) + F.lit(1)
+        cell = cell.bitwiseOR(F.shiftleft(one.cast("long"), DIGIT * i))
+        at += width
     return cell
 
 
@@ -70,16 +72,16 @@ def close_pairs(distinct: DataFrame, bits: int = 2) -> DataFrame:
 
     The popcount vectors of two fingerprints differ by at most their Hamming distance in Manhattan
     distance. Grid range-join: two cells at distance 2 or less share a cell at distance 1 or less from
-    both, so each fingerprint is entered in the 33 cells about its own, and one that meets no other
+    both, so each fingerprint is entered in the 43 cells about its own, and one that meets no other
     there is done with. The rest are verified exactly: fingerprints at 2 bits or less share a word at
     1 bit or less from both, and all that share one are at 2 or less from each other; a shared
     word has at most 65 of them, so chaining its neighbours in order links them all with no pair
-    set, however dense a group is. Work is at most 33 + 65 rows for each different fingerprint.
+    set, however dense a group is. Work is at most 43 + 65 rows for each different fingerprint.
     """
     if bits != 2:
         raise ValueError("the shared-neighbour check is for 2 bits")
     home = popcounts(F.col("fp"))
-    steps = [F.lit(1 << WIDTH * i).cast("long") for i in range(SEGMENTS)]
+    steps = [F.lit(1 << DIGIT * i).cast("long") for i in range(len(SEGMENTS))]
     cells = distinct.select("fp", home.alias("home")).select("fp", F.explode(F.array("home", *[F.col("home") + s for s in steps], *[F.col("home") - s for s in steps])).alias("cell"))
     by_cell = Window.partitionBy("cell").orderBy("fp")
     met = cells.select("fp", F.lag("fp").over(by_cell).alias("p"), F.lead("fp").over(by_cell).alias("q")).where("p is not null or q is not null").select("fp").distinct()
