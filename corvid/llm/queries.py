@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import html_text, langid, packing, pieces, quality, simhash, warc
+from corvid.llm import html_text, langid, media, packing, pieces, quality, simhash, warc
 from corvid.plans.session import table
 
 
@@ -14,6 +14,10 @@ def op1_langid(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), "held_out", F.col("lang").alias("lang_pred"), "score", "distance", "rejected")
 
 
+def op2_media(spark, sf_dir):
+    return media.measure(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def op4_warc(spark, sf_dir):
     return warc.visits(warc.round_trip(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
@@ -48,7 +52,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_media, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op10_html_text, pipeline)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
