@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import html_text, langid, media, packing, pieces, quality, simhash, warc
+from corvid.llm import html_text, langid, media, packing, pieces, quality, simhash, toxicity, warc
 from corvid.plans.session import table
 
 
@@ -42,6 +42,11 @@ def op8_quality(spark, sf_dir):
     return quality.grade(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("key", "doc_id")
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("key", "doc_id")
+
+
 def op10_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("key", "page_id")
 
@@ -52,7 +57,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_media, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_media, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op9_toxicity, op10_html_text, pipeline)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
