@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvid.llm import html_text, langid, media, packing, pieces, quality, simhash, toxicity, warc
+from corvid.llm import html_text, langid, lattice, media, packing, pieces, quality, simhash, toxicity, warc
 from corvid.plans.session import table
 
 
@@ -18,6 +18,10 @@ def op2_media(spark, sf_dir):
     return media.measure(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
+def op3_lattice(spark, sf_dir):
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings")).select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op4_warc(spark, sf_dir):
     return warc.visits(warc.round_trip(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
@@ -57,8 +61,19 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_media, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op9_toxicity, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_media, op3_lattice, op4_warc, op5_packing, op6_simhash, op7_pieces, op8_quality, op9_toxicity, op10_html_text, pipeline)}
 ORACLES: dict[str, str] = {
+    "op3_lattice": """
+        with recursive v as (
+            select vec_id, label, embedding::double[] as e from embeddings
+            where label is not null and embedding is not null and len(embedding) > 0
+              and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+        link as (
+            select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+            where list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join link l on r.b = l.a)
+        select r.a as vec_id, coalesce(any_value(n.n), 0) as n_links, min(r.b) as component_id, r.a = min(r.b) as kept
+        from reach r left join (select a, count(*) as n from link group by a) n on r.a = n.a group by r.a""",
     "op4_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
         d as (select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p),
