@@ -217,7 +217,8 @@ def memory(path: str) -> dict[str, tuple[str, str, bool]]:
 def learn(v: Vocabulary, known: dict, units: list[str]) -> None:
     """Adds units to known: their ids in decimal, what the ids spell, and whether the library gives the same ids."""
     found = v.segment(units)
-    theirs = v.library.encode([u[1:].replace(SPACE, " ") for u in units], num_threads=1)
+    # the library sets the first space itself, but before an empty text
+    theirs = [ids or [v.library.piece_to_id(SPACE)] for ids in v.library.encode([u[1:].replace(SPACE, " ") for u in units], num_threads=1)]
     for u, ids, same in zip(units, found, theirs, strict=True):
         known[u] = (" ".join(map(str, ids)), v.spell(ids), ids == same)
 
