@@ -119,13 +119,22 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     group has a key, likewise. Only the texts of such repeated rows are shuffled to choose.
     """
     found = cut(near_duplicates(docs, key, text))
-    kept = cut(found.where(F.col("key").eqNullSafe(F.col("component"))).groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").alias("corvid_key"), "n"))
-    out = docs.join(kept.where("n = 1 and corvid_key is not null"), docs[key] == F.col("corvid_key"), "left_semi")
-    many = kept.where("n > 1 or corvid_key is null")
+    own, mark = free_name(docs, "kept_key"), free_name(docs, "kept_fp")
+    kept = cut(found.where(F.col("key").eqNullSafe(F.col("component"))).groupBy("key").agg(F.count("*").alias("rows_of_key")).select(F.col("key").alias(own), "rows_of_key"))
+    single = kept.where(F.col("rows_of_key") == 1).select(own)
+    out = docs.join(single, docs[key] == single[own], "left_semi")
+    many = kept.where((F.col("rows_of_key") > 1) | F.col(own).isNull()).select(own)
     if many.isEmpty():
         return out
-    rest = docs.join(many, docs[key].eqNullSafe(F.col("corvid_key")), "left_semi")
-    return out.unionByName(rest.withColumn("corvid_fp", fingerprint_udf()(rest[text])).dropDuplicates([key, "corvid_fp"]).drop("corvid_fp"))
+    rest = docs.join(many, docs[key].eqNullSafe(many[own]), "left_semi")
+    return out.unionByName(rest.withColumn(mark, fingerprint_udf()(rest[text])).dropDuplicates([key, mark]).drop(mark))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 def fingerprint_udf():
