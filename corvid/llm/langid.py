@@ -107,17 +107,19 @@ def clusters(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.nda
     return c, (x @ c.T).argmax(axis=1)
 
 
-def train(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model of (language, counts) rows; their order does not matter."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
+def train(rows: list[tuple[str, bytes, bytes]]) -> Model:
+    """A model of (language, buckets, their counts) rows, as packed() gives them; their order does not matter."""
+    rows = sorted(rows)
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    seen = sum((r[1] > 0).astype(np.int64) for r in rows)
+    seen = sum(np.bincount(np.frombuffer(r[1], "<u2"), minlength=BUCKETS) for r in rows)
     model = Model(langs, (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
     all_c, owner, least = [], [], []
     for i, lang in enumerate(langs):
-        own_rows = np.stack([c for k, c in rows if k == lang])
+        own_rows = np.zeros((sum(r[0] == lang for r in rows), BUCKETS), np.int32)
+        for row, (_, at, n) in zip(own_rows, (r for r in rows if r[0] == lang), strict=True):
+            row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
         x = model.vectors(own_rows)
         c, own = clusters(x, min(CENTROIDS, len(x)))
         radius = SLACK * closeness((x * c[own]).sum(axis=1), own_rows.sum(axis=1)).min()
@@ -128,6 +130,12 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
     return model
 
 
+def packed(c: np.ndarray) -> tuple[bytes, bytes]:
+    """The buckets that counts has, and their counts."""
+    at = np.flatnonzero(c)
+    return at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()
+
+
 def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
@@ -149,16 +157,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(k, c) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (c := counts(t)) is not None]
-            where = [np.flatnonzero(c) for _, c in out]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([w.astype("<u2").tobytes() for w in where], pa.binary()), pa.array([c[w].astype("<u4").tobytes() for (_, c), w in zip(out, where, strict=True)], pa.binary())], ["lang", "at", "n"])
-
-    got = []
-    for r in chosen.mapInArrow(run, "lang string, at binary, n binary").limit(2 * fit_all).collect():
-        c = np.zeros(BUCKETS, np.int64)
-        c[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
-        got.append((r["lang"], c))
-    return train(got)
+            out = [(k, *packed(c)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (c := counts(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["lang", "at", "n"])
+
+    return train([(r["lang"], bytes(r["at"]), bytes(r["n"])) for r in chosen.mapInArrow(run, "lang string, at binary, n binary").limit(2 * fit_all).collect()])
 
 
 def predictor(spark: SparkSession, model: Model):
