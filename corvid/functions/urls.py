@@ -82,10 +82,12 @@ def shortener(h: Column, p: Column) -> Column:
 
 
 def ip_host(h: Column) -> Column:
-    """Whether a host is an IPv4 address, or reads as an IPv6 one."""
+    """Whether a host is an IPv4 or IPv6 address."""
     bare = F.regexp_replace(F.coalesce(h, F.lit("")), r"^\[|\]$", "")
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    return bare.rlike(rf"^{octet}(?:\.{octet}){{3}}$") | bare.rlike(r"^(?=.*:.*:)[0-9a-fA-F:.]+$")
+    four = rf"{octet}(?:\.{octet}){{3}}"
+    six = rf"^(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}$|^(?:[0-9a-fA-F]{{1,4}}:){{6}}{four}$|^(?=.*::)(?!.*::.*::)(?!.*:::)(?!:[^:])(?:[0-9a-fA-F]{{0,4}}:){{2,7}}(?:[0-9a-fA-F]{{1,4}}|{four})?$"
+    return bare.rlike(f"^{four}$") | bare.rlike(six)
 
 
 def public_ipv4(ip: Column) -> Column:

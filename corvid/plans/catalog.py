@@ -653,3 +653,61 @@ def str07_resume(spark, sf_dir):
 def entry_profile(spark, sf_dir):
     """The flagship: documents cleaned, without conflicts and copies, counted by source and label."""
     return corpus.clean(labelled(spark, sf_dir)).groupBy("source", "label").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ messages, HTML and streams
+
+
+def eml(spark, sf_dir):
+    """documents as raw messages with headers, a plain and an HTML part, and an attachment."""
+    crlf = "\r\n"
+    k = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("From: Ann <ann@a.example>" + crlf + "To: bob@b.example" + crlf + "Subject: note "), k, F.lit(crlf + "Message-ID: <"), k, F.lit("@a.example>" + crlf + 'MIME-Version: 1.0' + crlf + 'Content-Type: multipart/mixed; boundary="=x="' + crlf + crlf))
+    plain = F.concat(F.lit("--=x=" + crlf + "Content-Type: text/plain; charset=utf-8" + crlf + "Content-Transfer-Encoding: 8bit" + crlf + crlf), F.col("text"), F.lit(crlf))
+    html = F.lit("--=x=" + crlf + "Content-Type: text/html; charset=utf-8" + crlf + crlf + "<p>Pa<span>y</span>Pal</p><p hidden>no</p>" + crlf)
+    file = F.concat(F.lit("--=x=" + crlf + 'Content-Type: application/pdf; name="a.pdf"' + crlf + 'Content-Disposition: attachment; filename="a.pdf"' + crlf + crlf + "%PDF-1.4 "), k, F.lit(crlf + "--=x=--" + crlf))
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", F.lit("t").alias("path"), k.alias("member"), F.concat(head, plain, html, file).cast("binary").alias("content"))
+
+
+@query("select doc_id, 'ok' as status, 'note ' || doc_id as subject, 'plain' as body_source, 1 as n_files, sha256('%PDF-1.4 ' || doc_id) as file_hash from documents where text is not null and trim(text) <> ''")
+def src01_messages(spark, sf_dir):
+    from corvid.sources.messages import parse_messages
+
+    r = parse_messages(eml(spark, sf_dir)).where("trim(body_plain) != ''")
+    return r.select(F.col("member").cast("long").alias("doc_id"), "status", "subject", "body_source", F.size("attachments").alias("n_files"), F.sha2(F.col("attachments")[0]["payload"], 256).alias("file_hash"))
+
+
+@query()
+def htm01_visible_text(spark, sf_dir):
+    from corvid.functions.html import visible
+
+    return table(spark, sf_dir, "pages").select("page_id", visible(F.col("html")).alias("text"))
+
+
+@query()
+def lnk09_anchor_roles(spark, sf_dir):
+    from corvid.functions.html import anchors
+
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(anchors(F.col("html"))))
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def str_tumbling(spark, sf_dir):
+    from corvid.streaming import jobs
+
+    return jobs.drain(jobs.tumbling(jobs.stream(spark, f"{sf_dir}/events.parquet")), "complete").withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select distinct user_id, event_type from events")
+def str01_dedup(spark, sf_dir):
+    from corvid.streaming import jobs
+
+    return jobs.drain(jobs.first_within(jobs.stream(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"))
+
+
+@query("""with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events), s as (select user_id, ts, sum(case when p is null or ts - p >= interval 30 minutes then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+    select user_id, min(ts) as start, count(*) as n from s group by user_id, k""")
+def str_sessions(spark, sf_dir):
+    from corvid.streaming import jobs
+
+    return jobs.sessions(table(spark, sf_dir, "events"))
