@@ -53,6 +53,36 @@ def first_json(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
-def verdict(content: Column, identity: Column, technical: Column) -> Column:
-    """The verdict of three risks (low, medium, high): a high technical risk, or a high content risk that another axis bears out, is phishing. Doubts about identity alone never are."""
-    return F.when((technical == "high") | ((content == "high") & (identity.isin("high", "medium") | (technical == "medium"))), "phishing").when((content.isin("high", "medium")) | (technical == "medium"), "suspicious").when(identity == "high", "suspicious").otherwise("legitimate")
+def message_flags(c=F.col) -> Column:
+    """The flags of a message's report, in their order, from (spf, dkim, dmarc, has_dkim, reply_to_mismatch, reply_to_legitimate, return_path_mismatch, is_bulk, html_only, display_name_spoofing, injection_ip)."""
+    status = lambda k: F.upper(F.coalesce(c(k), F.lit("")))
+    named = lambda cond, level, field, message: F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), message.alias("message")))
+    return F.filter(
+        F.array(
+            named(c("spf").isNull() | (c("spf") != "pass"), "MEDIUM", "SPF", F.coalesce(F.concat(F.lit("SPF "), F.upper(c("spf"))), F.lit("SPF missing"))),
+            named((status("dkim") != "") & (c("dkim") != "pass"), "MEDIUM", "DKIM", F.concat(F.lit("DKIM "), status("dkim"))),
+            flag(((status("dkim") == "") | (c("dkim") == "pass")) & ~c("has_dkim"), "MEDIUM", "DKIM", "DKIM missing"),
+            named(c("dmarc").isNull() | ~c("dmarc").isin("pass", "bestguesspass"), "MEDIUM", "DMARC", F.coalesce(F.concat(F.lit("DMARC "), F.upper(c("dmarc"))), F.lit("DMARC missing"))),
+            flag(c("reply_to_mismatch"), "HIGH", "Reply-To", "Reply-To differs from From"),
+            flag(~c("reply_to_mismatch") & c("reply_to_legitimate"), "INFO", "Reply-To", "Reply-To differs as it does in common routing"),
+            named(c("return_path_mismatch"), "", "Return-Path", F.lit("Return-Path differs from From")).withField("level", F.when(c("is_bulk"), "LOW").otherwise("MEDIUM")),
+            flag(c("html_only"), "INFO", "Body", "body is HTML only"),
+            flag(c("display_name_spoofing"), "HIGH", "Display Name", "display name shows another address"),
+            flag(c("injection_ip").isNotNull(), "INFO", "Received", "injection server has an address"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+
+def indicators(rows: DataFrame, key: str, **groups: str) -> DataFrame:
+    """Rows (key, kind, indicator, ord): each group's different values in order of first sight, defanged for URLs and domains. groups: kind = array column."""
+    from corvid.functions.text import defang
+
+    one = F.flatten(F.array(*[kinds(F.col(col), kind) for kind, col in groups.items()]))
+    r = rows.select(F.col(key), F.inline(one)).where("value is not null and value != ''")
+    r = r.groupBy(key, "kind", "value").agg(F.min("ord").alias("ord"))
+    return r.select(key, "kind", F.when(F.col("kind").isin("url", "domain", "ip", "sender"), defang(F.col("value"))).otherwise(F.col("value")).alias("indicator"), "ord")
+
+
+def kinds(values: Column, kind: str) -> Column:
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(kind).alias("kind"), v.alias("value"), i.alias("ord")))

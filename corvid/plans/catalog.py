@@ -711,3 +711,146 @@ def str_sessions(spark, sf_dir):
     from corvid.streaming import jobs
 
     return jobs.sessions(table(spark, sf_dir, "events"))
+
+
+# ------------------------------------------------------------------ policy, on facts made from the customers' keys
+
+from corvid.operators import policy  # noqa: E402
+
+
+def case_rows(spark, sf_dir):
+    """customer keys as facts: every word and truth value comes from a part of the key's hash."""
+    h = lambda i: F.conv(F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 2 * i + 1, 2), 16, 10).cast("int")
+    pick = lambda i, words: F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(h(i), F.lit(len(words))) + 1)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pick(0, policy.ACTIONS).alias("requested_action"), pick(1, policy.CHANNELS).alias("action_channel"), *[(F.pmod(h(i + 2), F.lit(5)) == 0).alias(b) for i, b in enumerate(policy.BOOLEANS)], F.pmod(h(17), F.lit(2)).alias("n_links"), F.pmod(h(18), F.lit(2)).alias("n_attachments"), F.when(h(19) % 3 == 0, "").otherwise("quote").alias("evidence_phrase"), (h(20) / 255.0).cast("double").alias("confidence"))
+    return rows.withColumns({"spf": pick(21, STATUSES), "dkim": pick(22, STATUSES), "dmarc": pick(23, STATUSES), "link_status": pick(24, REPUTATIONS), "file_status": pick(25, REPUTATIONS), "hop_status": pick(26, REPUTATIONS), "domain_status": F.lit(None).cast("string"), "pdf_risk": pick(27, ["clean", "low", "medium", "clean", "high", "clean", "clean"]), "classifier": pick(28, ["phishing", "legitimate", "uncertain"]), **{n: F.pmod(h(29 + i), F.lit(9)) == 0 for i, n in enumerate(("display_name_spoofing", "reply_to_mismatch", "brand_mismatch"))}, "anomaly": F.pmod(h(20), F.lit(9)) == 1, "ip_link": F.pmod(h(21), F.lit(9)) == 1, "lookalike": F.pmod(h(22), F.lit(9)) == 1, "link_mismatch": F.pmod(h(23), F.lit(9)) == 1})
+
+
+STATUSES = ["pass", "fail", "none", "softfail", "bestguesspass"]
+REPUTATIONS = ["clean", "unknown", "clean", "suspicious", "clean", "clean", "clean", "clean", "clean", "malicious", "clean"]
+
+
+def case_sql() -> str:
+    h = lambda i: f"('0x' || substr(sha256(c_custkey::varchar), {2 * i + 1}, 2))::int"
+    pick = lambda i, words: f"[{values(words)}][{h(i)} % {len(words)} + 1]"
+    cols = [f"{pick(0, policy.ACTIONS)} as a0", f"{pick(1, policy.CHANNELS)} as c0", *[f"{h(i + 2)} % 5 = 0 as {b}" for i, b in enumerate(policy.BOOLEANS)], f"{h(17)} % 2 as n_links", f"{h(18)} % 2 as n_attachments", f"case when {h(19)} % 3 = 0 then '' else 'quote' end as e0", f"{h(20)} / 255.0 as f0"]
+    cols += [f"{pick(21, STATUSES)} as spf", f"{pick(22, STATUSES)} as dkim", f"{pick(23, STATUSES)} as dmarc", f"{pick(24, REPUTATIONS)} as link_status", f"{pick(25, REPUTATIONS)} as file_status", f"{pick(26, REPUTATIONS)} as hop_status", f"{pick(27, ['clean', 'low', 'medium', 'clean', 'high', 'clean', 'clean'])} as pdf_risk", f"{pick(28, ['phishing', 'legitimate', 'uncertain'])} as classifier"]
+    cols += [f"{h(29 + i)} % 9 = 0 as {n}" for i, n in enumerate(("display_name_spoofing", "reply_to_mismatch", "brand_mismatch"))] + [f"{h(20 + i)} % 9 = 1 as {n}" for i, n in enumerate(("anomaly", "ip_link", "lookalike", "link_mismatch"))]
+    return f"""with f as (select c_custkey, {', '.join(cols)} from customer),
+    l as (select *, (a0 = 'visit_link' and n_links = 0) or (a0 = 'open_attachment' and n_attachments = 0) as lost, (c0 = 'supplied_link' and n_links = 0) or (c0 = 'supplied_attachment' and n_attachments = 0) as unclear from f),
+    k as (select *, case when lost then 'informational' else a0 end as action, case when lost then 'none' when unclear then 'unclear' else c0 end as channel, case when lost then '' else e0 end as phrase,
+        (asks_to_click_link or c0 = 'supplied_link') and not (n_links = 0 and (c0 = 'supplied_link' or a0 = 'visit_link')) as click, (asks_to_open_attachment or c0 = 'supplied_attachment') and not (n_attachments = 0 and (c0 = 'supplied_attachment' or a0 = 'open_attachment')) as opens from l),
+    m as (select *, a0 not in ('none', 'informational', 'other') and phrase = '' as groundless, channel in ('supplied_link', 'external_form', 'supplied_attachment', 'email_reply') or click or opens as supplied, urgency_present and a0 not in ('none', 'informational', 'other') as urgent, asks_for_sensitive_information or asks_for_payment as sensitive from k),
+    r as (select *, case when (structured_extortion and asks_for_payment) or (asks_for_credentials and (action = 'provide_credentials' or supplied) and channel <> 'normal_known_procedure') or asks_to_bypass_procedure or (impersonation_or_deception and (sensitive or (asks_to_change_account_settings and supplied))) then 'malicious'
+            when sensitive or (supplied and (asks_to_change_account_settings or action = 'verify_account' or asks_to_verify_account or action = 'claim_reward' or asks_to_claim_reward or (financial_pretext_present and threat_or_consequence_present) or (financial_incentive_present and urgency_present))) or (urgent and (supplied or sensitive)) then 'suspicious' else 'benign' end as content,
+        case when display_name_spoofing or reply_to_mismatch or brand_mismatch then 'spoofing_evidence' when dmarc in ('pass', 'bestguesspass') or (spf = 'pass' and dkim = 'pass') then 'verified' else 'uncertain' end as identity,
+        case when 'malicious' in (link_status, file_status, hop_status) or pdf_risk in ('high', 'critical') then 'malicious' when 'suspicious' in (link_status, file_status, hop_status) or pdf_risk = 'medium' or anomaly or ip_link or lookalike or link_mismatch then 'uncertain' else 'clean' end as technical from m)"""
+
+
+@query(case_sql() + " select c_custkey, action as requested_action, channel as action_channel, case when lost or unclear or groundless then 'high' else 'low' end as ambiguity, round(case when groundless then least(f0, 0.49) else f0 end, 9) as confidence, click as asks_to_click_link from r")
+def pol05_correlated(spark, sf_dir):
+    r = policy.correlated(case_rows(spark, sf_dir))
+    return r.select("c_custkey", "requested_action", "action_channel", "ambiguity", F.round("confidence", 9).alias("confidence"), "asks_to_click_link")
+
+
+@query(case_sql() + " select c_custkey, content from r")
+def pol06_content_risk(spark, sf_dir):
+    return policy.correlated(case_rows(spark, sf_dir)).select("c_custkey", policy.content_risk()["risk"].alias("content"))
+
+
+@query(case_sql() + " select c_custkey, identity from r")
+def pol07_identity_risk(spark, sf_dir):
+    return case_rows(spark, sf_dir).select("c_custkey", policy.identity_risk().alias("identity"))
+
+
+@query(case_sql() + " select c_custkey, technical from r")
+def pol08_technical_risk(spark, sf_dir):
+    return case_rows(spark, sf_dir).select("c_custkey", policy.technical_risk().alias("technical"))
+
+
+@query(case_sql() + """ select c_custkey, case when technical = 'malicious' or content = 'malicious' or (content = 'suspicious' and (identity = 'spoofing_evidence' or technical = 'uncertain')) or (classifier = 'phishing' and channel in ('supplied_link', 'external_form', 'supplied_attachment') and identity <> 'verified') then 'phishing'
+    when (classifier = 'phishing' and channel in ('supplied_link', 'external_form', 'supplied_attachment')) or content = 'suspicious' or identity = 'spoofing_evidence' or technical = 'uncertain' then 'review' else 'legitimate' end as verdict from r""")
+def pol11_verdict(spark, sf_dir):
+    r = policy.correlated(case_rows(spark, sf_dir)).withColumns({"content": policy.content_risk()["risk"], "identity": policy.identity_risk(), "technical": policy.technical_risk()})
+    return r.select("c_custkey", policy.verdict(F.col("content"), F.col("identity"), F.col("technical"), F.col("classifier"), F.col("action_channel")).alias("verdict"))
+
+
+ANSWERS = ['```json\n{"requested_action": "Payment", "action_channel": "LINK", "confidence": 1.7, "asks_for_payment": "yes"}\n```', 'Sure: {"requested_action": "dance", "confidence": "0.25", "asks_for_payment": 0} done', "no json", '{"requested_action": "verify-account", "action_channel": "phone", "confidence": null, "asks_for_payment": true}']
+
+
+@query("select c_custkey, [true, true, false, true][i] as has_json, ['pay_or_transfer', 'none', 'none', 'verify_account'][i] as requested_action, ['supplied_link', 'unclear', 'unclear', 'phone_or_other'][i] as action_channel, [1.0, 0.25, 0.5, 0.5][i]::double as confidence, [true, false, false, true][i] as asks_for_payment from (select c_custkey, c_custkey % 4 + 1 as i from customer)")
+def pol02_answer_facts(spark, sf_dir):
+    answer = F.element_at(F.array(*map(F.lit, ANSWERS)), (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))
+    r = table(spark, sf_dir, "customer").select("c_custkey", flags.first_json(answer).alias("j"))
+    return r.select("c_custkey", F.col("j").isNotNull().alias("has_json"), *policy.facts(F.col("j"))).select("c_custkey", "has_json", "requested_action", "action_channel", "confidence", "asks_for_payment")
+
+
+@query("select doc_id, true as exact, length(text) > 0 as near from documents where length(text) between 200 and 2000")
+def pol03_grounding(spark, sf_dir):
+    d = documents(spark, sf_dir).where(F.length("text").between(200, 2000))
+    quote = F.upper(F.trim(F.substring("text", 20, 60)))
+    return d.select("doc_id", policy.grounded(quote, F.col("text")).alias("exact"), policy.grounded(F.concat(F.substring(quote, 1, 58), F.lit("xx")), F.col("text")).alias("near"))
+
+
+@query("select user_id, event_id as section, round(value, 6) as score, event_type from (select *, row_number() over (partition by user_id order by value desc, event_id) as k from events) where k = 1")
+def pol12_best_candidate(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("section"), F.col("value").alias("score"), "event_type")
+    return policy.best_candidate(e, "user_id").withColumn("score", F.round("score", 6))
+
+
+@query("select s_suppkey, case when s_acctbal is null then 'unknown' when s_acctbal >= 75 then 'high' when s_acctbal >= 25 then 'medium' else 'low' end as risk, case when s_suppkey % 5 = 0 then 'recipient' when s_suppkey % 5 = 4 then 'sender' when s_suppkey % 5 = 1 then 'injection' else 'relay' end as role from (select s_suppkey, s_acctbal from supplier)")
+def rcv14_hop_role(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", flags.score_risk(F.col("s_acctbal")).alias("risk"), flags.hop_role(F.pmod("s_suppkey", F.lit(5)), F.lit(5)).alias("role"))
+
+
+@query("""with h as (select c_custkey, ['List-Id', 'X-Mailer', 'Precedence', 'x-campaign', 'X-SG-EID', 'Subject', 'List-Help'][1:(c_custkey % 8)] as names from customer), s as (select c_custkey, [x for x in ['List-Id', 'X-Mailer', 'Precedence', 'X-Campaign', 'X-SG-EID', 'List-Help'] if list_contains([lower(y) for y in names], lower(x))] as p from h)
+    select c_custkey, len(p) + (case when c_custkey % 8 >= 3 then 1 else 0 end) as n_signals, len(p) + (case when c_custkey % 8 >= 3 then 1 else 0 end) >= 4 as bulk from s""")
+def hdr08_bulk_signals(spark, sf_dir):
+    names = F.slice(F.array(*[F.lit(x) for x in ("List-Id", "X-Mailer", "Precedence", "x-campaign", "X-SG-EID", "Subject", "List-Help")]), F.lit(1), F.pmod("c_custkey", F.lit(8)).cast("int"))
+    s = headers.bulk_signals(names, F.lit(None).cast("string"), F.when(F.pmod("c_custkey", F.lit(8)) >= 3, "Bulk"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.size(s).cast("long").alias("n_signals"), (F.size(s) >= fixed.BULK_SIGNALS).alias("bulk"))
+
+
+def report_rows(spark, sf_dir):
+    r = case_rows(spark, sf_dir)
+    k = F.col("c_custkey")
+    return r.select("c_custkey", F.when(k % 11 != 0, F.col("spf")).alias("spf"), "dkim", "dmarc", (k % 3 == 0).alias("has_dkim"), "reply_to_mismatch", (k % 5 == 0).alias("reply_to_legitimate"), (k % 4 == 0).alias("return_path_mismatch"), (k % 2 == 0).alias("is_bulk"), (k % 6 == 0).alias("html_only"), "display_name_spoofing", F.when(k % 7 == 0, "1.2.3.4").alias("injection_ip"))
+
+
+@query(case_sql() + """, q as (select *, case when c_custkey % 11 <> 0 then spf end as s from r) select c_custkey,
+    (s is null or s <> 'pass')::int + (dkim <> 'pass' or c_custkey % 3 <> 0)::int + (dmarc not in ('pass', 'bestguesspass'))::int + (c_custkey % 4 = 0 and c_custkey % 2 <> 0)::int as medium,
+    reply_to_mismatch::int + display_name_spoofing::int as high, (c_custkey % 4 = 0 and c_custkey % 2 = 0)::int as low, (not reply_to_mismatch and c_custkey % 5 = 0)::int + (c_custkey % 6 = 0)::int + (c_custkey % 7 = 0)::int as info from q""")
+def flg01_message_flags(spark, sf_dir):
+    f = report_rows(spark, sf_dir).select("c_custkey", flags.message_flags().alias("f"))
+    n = lambda v: F.size(F.filter("f", lambda x: x["level"] == v)).alias(v.lower())
+    return f.select("c_custkey", n("MEDIUM"), n("HIGH"), n("LOW"), n("INFO"))
+
+
+@query(rf"""with h as (select page_id, {HOST} as host, url from pages) select page_id, 'domain' as kind, replace(host, '.', '[.]') as indicator from h where host <> '' union all
+    select page_id, 'url', regexp_extract(url, '^([a-zA-Z]+)://', 1) || '[://]' || replace(regexp_extract(url, '://([^/?#]*)', 1), '.', '[.]') || regexp_extract(url, '://[^/?#]*(.*)$', 1) from h union all select page_id, 'hash', sha256(url) from h""")
+def ioc01_indicators(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.array("url", "url").alias("urls"), F.array(urls.host(F.col("url"))).alias("hosts"), F.array(F.sha2("url", 256)).alias("hashes"))
+    return flags.indicators(p, "page_id", url="urls", domain="hosts", hash="hashes").select("page_id", "kind", "indicator")
+
+
+@query(f"select round(sum(w * case when label = 1 then -ln(least(greatest(p, 0.001), 0.999)) else -ln(1 - least(greatest(p, 0.001), 0.999)) end) / sum(w), 9) as loss from (select *, 1.0 / (1 + doc_id % 4) as w from ({SCORED}))")
+def chk04_weighted_loss(spark, sf_dir):
+    r = scored(spark, sf_dir).select(F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999)).alias("p"), "label", (1.0 / (1 + F.pmod("doc_id", F.lit(4)))).alias("weight"))
+    return scoring.weighted_loss(r).select(F.round("loss", 9).alias("loss"))
+
+
+@query(f"""with b as (select owner, logit_pos - logit_neg as m from (select *, row_number() over (partition by owner order by logit_pos - logit_neg desc, chunk) as k from ({LOGITS})) where k = 1), s as (select (m >= 0.1)::int as predicted, (owner % 2)::int as label from b) select {RATIOS} from (select {CONFUSION} from s)""")
+def met02_email_metrics(spark, sf_dir):
+    b = scoring.best_chunk(logits(spark, sf_dir))
+    return rounded(scoring.confusion(b.select((F.col("margin") >= 0.1).cast("int").alias("predicted"), (F.col("owner") % 2).cast("int").alias("label"))))
+
+
+@query()
+def cal03_temperature(spark, sf_dir):
+    rows = scored(spark, sf_dir).select(((F.col("p") - 0.5) * 8).alias("margin"), "label")
+    return spark.createDataFrame([(float(scoring.fit_temperature(rows)),)], "temperature double")
+
+
+@query("select regexp_extract(p_brand, '#(.)', 1) as g, count(*) as n, count(distinct p_brand) as brands from part group by 1")
+def enr06_group_summary(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.regexp_extract("p_brand", "#(.)", 1).alias("g")).agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
