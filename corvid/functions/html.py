@@ -100,3 +100,70 @@ def anchors(html: Column) -> Column:
         return pages.map(lambda h: [{**x, "display_text": " ".join(x["display_text"].split())[:120]} for x in read(h).links])
 
     return run(F.coalesce(html, F.lit("")))
+
+
+# fixed values: elements and attributes that a preview may not hold
+ACTIVE = frozenset("script style iframe object embed form input button textarea select meta link base svg math template head".split())
+UNSAFE = frozenset("src srcset href action formaction background poster data xlink:href".split())
+
+
+class Cleaner(HTMLParser):
+    """Rebuilds a page without what could act or load."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.inside: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ACTIVE:
+            if tag not in VOID:
+                self.inside.append(tag)
+            return
+        if self.inside:
+            return
+        if tag == "img":
+            alt = dict(attrs).get("alt") or "image"
+            self.out.append(f"[{alt.replace('<', '&lt;')}]")
+            return
+        kept = [(k, v or "") for k, v in attrs if k not in UNSAFE and not k.startswith("on") and not (k == "style" and re.search(r"(?i)url\s*\(|expression|position\s*:\s*fixed|@import", v or ""))]
+        self.out.append("<" + tag + "".join(f' {k}="{v.replace(chr(34), "&quot;")}"' for k, v in kept) + ">")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag in ACTIVE and tag not in VOID and self.inside:
+            self.inside.pop()
+
+    def handle_endtag(self, tag):
+        if tag in ACTIVE:
+            if tag in self.inside:
+                while self.inside.pop() != tag:
+                    pass
+        elif not self.inside and tag not in VOID:
+            self.out.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.out.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def safe_preview(html: str | None) -> str:
+    """A page that can be shown: no scripts, forms, loads or handlers; images become their alternative texts."""
+    c = Cleaner()
+    c.feed(html or "")
+    c.close()
+    return "".join(c.out)
+
+
+def preview(html: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(safe_preview)
+
+    return run(html)

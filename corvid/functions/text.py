@@ -118,3 +118,34 @@ def defang(url: Column) -> Column:
 
 def html_like(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?is)<\s*(?:!doctype\s+html|html|body|table|div|span|p|br|a|img|style|head)\b"), F.lit(False))
+
+
+def overlapping(text: Column, limit: int, overlap: int | None = None) -> Column:
+    """Pieces of at most limit characters that cover a text, each starting overlap (at most a third of limit) before the last one's end.
+
+    A piece ends at the last blank line, else line, sentence or space, in its last 35 %, if there is one.
+    """
+    back = min(overlap if overlap is not None else limit // 8, limit // 3)
+
+    def pieces(t: str) -> list[str]:
+        out, at = [], 0
+        while at < len(t):
+            end = min(len(t), at + limit)
+            if end < len(t):
+                low = at + int(limit * 0.65)
+                for mark in ("\n\n", "\n", ". ", " "):
+                    found = t.rfind(mark, low, end)
+                    if found >= 0:
+                        end = found + len(mark)
+                        break
+            out.append(t[at:end])
+            if end == len(t):
+                break
+            at = max(at + 1, end - back)
+        return out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pieces(t or ""))
+
+    return run(text)

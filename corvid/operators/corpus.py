@@ -165,3 +165,31 @@ def hash_split(rows: DataFrame, key: str, shares: dict[str, float] | None = None
         out = F.when((draw >= low) & (draw < low + share), name).otherwise(out)
         low += share
     return F.coalesce(out, F.lit("test"))
+
+
+def hard_negatives(spark, categories: DataFrame, entities: list[str], events: list[str]) -> DataFrame:
+    """Rows (category, language, batch, text) from templates: categories (category, language, templates, signatures) × entities × events.
+
+    The product is of fixed lists; a row's template and signature go round by its number.
+    """
+    one = lambda name, values: spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"{name}_ord int, {name} string")
+    rows = categories.crossJoin(F.broadcast(one("entity", entities))).crossJoin(F.broadcast(one("event", events)))
+    n = F.row_number().over(Window.partitionBy("category", "language").orderBy("entity_ord", "event_ord"))
+    rows = rows.withColumn("counter", n).withColumn("batch", (F.col("event_ord") % 2) + 1)
+    pick = lambda a, i: F.element_at(a, F.pmod(i, F.size(a)) + 1)
+    body = F.replace(F.replace(pick(F.col("templates"), F.col("counter") - 1), F.lit("{entity}"), F.col("entity")), F.lit("{event}"), F.col("event"))
+    return rows.select("category", "language", "batch", "counter", F.concat_ws("\n", body, pick(F.col("signatures"), F.col("counter") + F.col("batch"))).alias("text"))
+
+
+def generator_checks(rows: DataFrame, forbidden: list[str], min_chars: int = 40, min_words: int = 5) -> DataFrame:
+    """(rows, distinct_texts, too_short, too_few_words, forbidden) of generated rows."""
+    banned = F.lit(False)
+    for phrase in forbidden:
+        banned = banned | F.contains(F.lower("text"), F.lit(phrase))
+    return rows.agg(F.count("*").alias("rows"), F.countDistinct("text").alias("distinct_texts"), F.count_if(F.length("text") < min_chars).alias("too_short"), F.count_if(F.size(words(F.col("text"))) < min_words).alias("too_few_words"), F.count_if(banned).alias("forbidden"))
+
+
+def manifest(spark, path: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes, sha256) of the files below path."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -23,3 +23,22 @@ def vendor_status(malicious: Column, suspicious: Column, harmless: Column) -> Co
 
 def utc_minute(epoch: Column) -> Column:
     return F.concat(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+
+
+def vendor_file(payload: Column) -> Column:
+    """A vendor's JSON about a file as a typed struct; missing counts are 0."""
+    get = lambda k: F.get_json_object(payload, f"$.data.attributes.{k}")
+    n = lambda k: F.coalesce(get(f"last_analysis_stats.{k}").try_cast("int"), F.lit(0))
+    bad, doubt, silent, fine = n("malicious"), n("suspicious"), n("undetected"), n("harmless")
+    total = bad + doubt + silent + fine
+    return F.struct(
+        F.when(bad > 0, "malicious").when(doubt > 0, "suspicious").when(total > 0, "clean").otherwise("unknown").alias("status"), bad.alias("malicious"), doubt.alias("suspicious"), silent.alias("undetected"), total.alias("total_engines"),
+        F.concat_ws(" / ", (bad + doubt).cast("string"), total.cast("string")).alias("detection_ratio"), F.coalesce(get("popular_threat_classification.suggested_threat_label"), F.lit("")).alias("threat_label"), F.coalesce(get("type_description"), F.lit("")).alias("file_type"),
+        utc_minute(get("first_submission_date").try_cast("long")).alias("first_submission"), utc_minute(get("last_analysis_date").try_cast("long")).alias("last_analysis"),
+    )
+
+
+def two_step(rows: DataFrame, key: str, addresses: DataFrame, scores: DataFrame) -> DataFrame:
+    """rows with the worst score of the addresses that their domain (key) resolves to: addresses (domain, ip), scores (ip, score)."""
+    worst = addresses.join(scores, "ip", "left").groupBy("domain").agg(F.max("score").alias("score"), F.count("*").alias("n_addresses"))
+    return rows.join(worst.withColumnRenamed("domain", key), key, "left")

@@ -854,3 +854,178 @@ def cal03_temperature(spark, sf_dir):
 @query("select regexp_extract(p_brand, '#(.)', 1) as g, count(*) as n, count(distinct p_brand) as brands from part group by 1")
 def enr06_group_summary(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.regexp_extract("p_brand", "#(.)", 1).alias("g")).agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
+
+
+# ------------------------------------------------------------------ the remaining single expressions
+
+RAW_URLS = ["//a.example.com/x", "www.b.example.org", "c.example.net/path", "http://d.example.com", "mailto:x@y.z", "not a url", "", "ftp://e.example.com/f", "https://[tok]@f.example.com/q", "HTTPS://G.example.com"]
+
+
+@query(f"""select page_id, u as raw, ['https://a.example.com/x', 'http://www.b.example.org', 'http://c.example.net/path', 'http://d.example.com', 'http://mailto:x@y.z', 'http://not a url', '', 'ftp://e.example.com/f', 'https://[tok]@f.example.com/q', 'HTTPS://G.example.com'][i] as full_url,
+    [false, true, false, true, false, false, false, false, true, true][i] as candidate, regexp_replace(u, '^(https?://)\\[[^\\]/?#@]*\\]@(.+)$', '\\1\\2', 'i') as repaired from (select page_id, page_id % 10 + 1 as i, [{values(RAW_URLS)}][page_id % 10 + 1] as u from pages)""")
+def lnk03_candidates(spark, sf_dir):
+    r = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*map(F.lit, RAW_URLS)), (F.pmod("page_id", F.lit(10)) + 1).cast("int")).alias("raw"))
+    return r.select("page_id", "raw", urls.with_scheme(F.col("raw")).alias("full_url"), urls.web_candidate(F.col("raw")).alias("candidate"), urls.repair_userinfo(F.col("raw")).alias("repaired"))
+
+
+SHOWN = ["Visit www.paypal.com now", "click here", "https://x.example.com", "go to other.org"]
+
+
+@query(f"select page_id, [true, false, not ends_with(host, '.example.com') and host <> 'example.com', true][page_id % 4 + 1] and host <> '' as mismatch from (select page_id, {HOST} as host from pages)")
+def lnk07_display_mismatch(spark, sf_dir):
+    shown = F.element_at(F.array(*map(F.lit, SHOWN)), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", links.display_mismatch(shown, urls.host(F.col("url"))).alias("mismatch"))
+
+
+@query(r"select doc_id, regexp_matches(text, '[^\x00-\x7F]') as non_ascii from documents")
+def lnk10_non_ascii(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.col("text").rlike(r"[^\x00-\x7F]").alias("non_ascii"))
+
+
+@query("""with t as (select page_id, unnest(['Reset now', 'reset NOW', 'go', 'https://x.y', 'Open ' || (page_id % 3), 'View it']) as label, unnest([1, 2, 3, 4, 5, 6]) as o from pages)
+    select page_id, list(label order by o) as labels from (select page_id, arg_min(label, o) as label, min(o) as o from t where length(label) >= 4 and label not like 'http%' group by page_id, lower(label)) group by page_id""")
+def lnk12_call_texts(spark, sf_dir):
+    t = F.posexplode(F.array(F.lit("Reset now"), F.lit("reset NOW"), F.lit("go"), F.lit("https://x.y"), F.concat(F.lit("Open "), F.pmod("page_id", F.lit(3)).cast("string")), F.lit("View it"))).alias("o", "label")
+    r = table(spark, sf_dir, "pages").select("page_id", t).where((F.length("label") >= 4) & ~F.col("label").startswith("http"))
+    r = r.groupBy("page_id", F.lower("label").alias("k")).agg(F.min(F.struct("o", "label")).alias("f"))
+    return r.groupBy("page_id").agg(F.slice(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["label"]), 1, 8).alias("labels"))
+
+
+GLYPHS = ["pаypal.com", "раypal.com", "plain.com", "gооgle.it", "ı.net"]
+
+
+@query(f"select s_suppkey, h as host, translate(lower(h), '{''.join(fixed.HOMOGLYPHS)}', '{''.join(fixed.HOMOGLYPHS.values())}') as norm, h <> 'plain.com' as confusable, string_split(translate(lower(h), '{''.join(fixed.HOMOGLYPHS)}', '{''.join(fixed.HOMOGLYPHS.values())}'), '.')[-2] as sld from (select s_suppkey, [{values(GLYPHS)}][s_suppkey % 5 + 1] as h from supplier)")
+def lka02_homoglyphs(spark, sf_dir):
+    h = F.element_at(F.array(*map(F.lit, GLYPHS)), (F.pmod("s_suppkey", F.lit(5)) + 1).cast("int"))
+    r = table(spark, sf_dir, "supplier").select("s_suppkey", h.alias("host"))
+    return r.select("s_suppkey", "host", urls.homoglyphs_replaced(F.col("host")).alias("norm"), urls.has_homoglyphs(F.col("host")).alias("confusable")).withColumn("sld", urls.sld(F.col("norm")))
+
+
+ADDRESSES = ["8.8.8.8", "256.1.1.1", "[2001:db8::1]", "::", "1:2:3:4:5:6:7:8", "10:00:05", "host.com", "1.2.3", "::ffff:1.2.3.4", "a::b::c"]
+
+
+@query(f"select s_suppkey, [{values(ADDRESSES)}][s_suppkey % 10 + 1] as host, [true, false, true, true, true, false, false, false, true, false][s_suppkey % 10 + 1] as is_ip from supplier")
+def lka05_ip_hosts(spark, sf_dir):
+    h = F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.pmod("s_suppkey", F.lit(10)) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", h.alias("host"), urls.ip_host(h).alias("is_ip"))
+
+
+NESTED = ["https://a.b/r?url=https%3A%2F%2Fx.org%2F1&u=2", "https://a.b/r?u=https%253A%252F%252Fy.org", "https://a.b/", "https://a.b/?q=1&next=http://z.net"]
+
+
+@query("select s_suppkey, [['https://x.org/1'], ['https://y.org'], [], ['http://z.net']][s_suppkey % 4 + 1]::varchar[] as nested from supplier")
+def pdf07_nested_redirects(spark, sf_dir):
+    u = F.element_at(F.array(*map(F.lit, NESTED)), (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", attachments.nested_redirects(u).alias("nested"))
+
+
+NAMES = ["report.PDF", "archive.tar.gz", "noext", None, "page.html"]
+
+
+@query("select s_suppkey, ['pdf', 'gz', '', '', 'html'][s_suppkey % 5 + 1] as ext, case when s_suppkey % 2 = 0 then 'inline_resource' else 'attachment' end as role from supplier")
+def att03_extension_and_role(spark, sf_dir):
+    n = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.pmod("s_suppkey", F.lit(5)) + 1).cast("int"))
+    even = F.pmod("s_suppkey", F.lit(2)) == 0
+    return table(spark, sf_dir, "supplier").select("s_suppkey", attachments.extension(n).alias("ext"), attachments.attachment_role(F.when(even, "inline"), F.lit(None).cast("string"), F.lit("image/png")).alias("role"))
+
+
+@query("select s_suppkey, case s_suppkey % 5 when 0 then 'HIGH' when 1 then 'HIGH' when 2 then 'MEDIUM' else 'INFO' end as level, case when s_suppkey % 3 = 0 then 'bad type' end as anomaly from supplier")
+def flg02_severities(spark, sf_dir):
+    s = F.element_at(F.array(*[F.lit(x) for x in ("critical", "high", "Medium", "low", None)]), (F.pmod("s_suppkey", F.lit(5)) + 1).cast("int"))
+    a = F.element_at(F.array(*[F.lit(x) for x in ("bad type", "PDF risk high", "  ")]), (F.pmod("s_suppkey", F.lit(3)) + 1).cast("int"))
+    kept = F.when(~F.trim(a).startswith("PDF risk "), F.nullif(F.trim(a), F.lit("")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", attachments.severity_flag(s).alias("level"), kept.alias("anomaly"))
+
+
+SPF = ["pass (sender ok) client-ip=1.2.3.4", "Fail (bad)", " softfail x", "(odd)"]
+
+
+@query("select s_suppkey, ['pass', 'fail', 'softfail', ''][s_suppkey % 4 + 1] as status, [0, 100, 85, 50][s_suppkey % 4 + 1] as priority from supplier")
+def rcv08_spf_status(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, SPF)), (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", headers.spf_status(raw).alias("status")).withColumn("priority", headers.auth_priority(F.col("status")))
+
+
+@query("select s_suppkey, list_distinct_first as ips from (select s_suppkey, case when s_suppkey % 2 = 0 then ['9.9.9.' || (s_suppkey % 250), '10.0.0.1', '8.8.4.4'] else ['10.0.0.1', '8.8.4.4'] end as list_distinct_first from supplier)")
+def rcv13_routing_ips(spark, sf_dir):
+    own = F.when(F.pmod("s_suppkey", F.lit(2)) == 0, F.concat(F.lit("9.9.9."), F.pmod("s_suppkey", F.lit(250)).cast("string")))
+    all_ips = F.array_distinct(F.array_compact(F.concat(F.array(own), F.array(F.lit("10.0.0.1"), F.lit("8.8.4.4"), F.lit("10.0.0.1")))))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", all_ips.alias("ips"))
+
+
+@query("select s_suppkey, case when s_suppkey % 2 = 0 then '8.8.4.4' else '10.0.0.1' end as ip from supplier")
+def rcv03_preferred_ip(spark, sf_dir):
+    ips = F.when(F.pmod("s_suppkey", F.lit(2)) == 0, F.array(F.lit("10.0.0.1"), F.lit("8.8.4.4"))).otherwise(F.array(F.lit("10.0.0.1"), F.lit("192.168.1.1")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", headers.preferred_ip(ips).alias("ip"))
+
+
+@query("""with l as (select doc_id, string_split(text, chr(10)) as a from documents), p as (select doc_id, unnest(a) as x, generate_subscripts(a, 1) as i from l), m as (select doc_id, x, i, count_if(trim(x) <> '') over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before from p),
+    t as (select doc_id, min(i) as cut from m where regexp_matches(trim(x), '(?i)^(thanks|thank you|regards|cheers)\\s*,?\\s*$') and before >= 2 group by doc_id) select doc_id, t.cut is not null as has_tail from documents left join t using (doc_id)""")
+def bcx02_tail(spark, sf_dir):
+    ls = body.lines(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", (body.without_tail(ls)["removed"] > 0).alias("has_tail"))
+
+
+@query("""with s as (select doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) as x from documents) select doc_id, count(distinct lower(trim(x))) as n from s where length(trim(x)) >= 8 group by doc_id""")
+def bcx08_segments(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(body.evidence_segments(F.col("text"))).cast("long").alias("n")).where("n > 0")
+
+
+@query()
+def bcx07_chunks(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(text.overlapping(F.col("text"), 1200, 150)).alias("piece", "text"))
+
+
+@query()
+def htm02_without_signatures(spark, sf_dir):
+    from corvid.functions.html import visible
+
+    return table(spark, sf_dir, "pages").select("page_id", visible(F.concat(F.col("html"), F.lit("<div class='email-signature'>sig</div>")), drop_signatures=True).alias("text"))
+
+
+@query()
+def htm03_preview(spark, sf_dir):
+    from corvid.functions.html import preview
+
+    return table(spark, sf_dir, "pages").select("page_id", preview(F.col("html")).alias("html"))
+
+
+@query("select doc_id, 4::int as n_parts, 1::int as max_depth from documents where text is not null and trim(text) <> ''")
+def mim01_structure(spark, sf_dir):
+    from corvid.sources.messages import parse_messages
+
+    return parse_messages(eml(spark, sf_dir)).where("trim(body_plain) != ''").select(F.col("member").cast("long").alias("doc_id"), "n_parts", "max_depth")
+
+
+VENDOR = ['{"data": {"attributes": {"last_analysis_stats": {"malicious": 3, "suspicious": 1, "harmless": 60, "undetected": 6}}}}', '{"data": {"attributes": {"last_analysis_stats": {"suspicious": 2, "harmless": 10}}}}', '{"data": {"attributes": {"last_analysis_stats": {"harmless": 5}}}}', "{}"]
+
+
+@query("select s_suppkey, ['malicious', 'suspicious', 'clean', 'unknown'][i] as status, ['4 / 70', '2 / 12', '0 / 5', '0 / 0'][i] as detection_ratio from (select s_suppkey, s_suppkey % 4 + 1 as i from supplier)")
+def enr02_vendor_file(spark, sf_dir):
+    j = F.element_at(F.array(*map(F.lit, VENDOR)), (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", enrich.vendor_file(j).alias("r")).select("s_suppkey", "r.status", "r.detection_ratio")
+
+
+@query("select n_nationkey, max(s_acctbal) as score, count(*) as n_addresses from nation join supplier on s_nationkey = n_nationkey group by 1 union all select n_nationkey, null, null from nation where n_nationkey not in (select s_nationkey from supplier)")
+def enr11_domain_reputation(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return enrich.two_step(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", s.select(F.col("s_nationkey").alias("domain"), F.col("s_suppkey").alias("ip")), s.select(F.col("s_suppkey").alias("ip"), F.col("s_acctbal").alias("score")))
+
+
+@query("select 40 as rows, 40 as distinct_texts, 0 as too_short, 0 as too_few_words, 0 as forbidden")
+def gen02_generator_checks(spark, sf_dir):
+    cats = spark.createDataFrame([("delivery", "en", ["Your parcel from {entity} for {event} was handed over today as planned.", "{entity} has packed the goods for {event} and will send them on Monday."], ["Kind regards", "The team"]), ("delivery", "it", ["Il pacco di {entity} per {event} arriva domani come previsto.", "{entity} ha preparato la merce per {event} e la spedisce presto."], ["Saluti", "Il gruppo"])], "category string, language string, templates array<string>, signatures array<string>")
+    rows = corpus.hard_negatives(spark, cats, [f"Firm {x}" for x in "ABCDE"], ["the fair", "the opening", "the course", "the meeting"])
+    return corpus.generator_checks(rows, ["password", "click here"])
+
+
+@query("""with s as (select doc_id, quality as label, case when quality = 1 then 0.5 else 2.0 end as w from labels), n as (select doc_id, greatest(1, 1 + doc_id % 3) as k from labels) select doc_id, round(w / k, 9) as chunk_weight from s join n using (doc_id)""")
+def chk03_chunk_weights(spark, sf_dir):
+    r = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 0.5).otherwise(2.0).alias("w"), (1 + F.pmod("doc_id", F.lit(3))).alias("k"))
+    return r.select("doc_id", F.round(F.col("w") / F.col("k"), 9).alias("chunk_weight"))
+
+
+@query("select conv_id, count(*) as n_turns, list(role order by turn) as roles from conversations group by conv_id")
+def pol15_sections(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
