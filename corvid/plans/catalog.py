@@ -333,13 +333,12 @@ def hdr11_display_name(spark, sf_dir):
     return senders(spark, sf_dir).select("c_custkey", headers.display_name_spoofing(F.col("sender")).alias("shown"))
 
 
-@query("""select ip, not (ip like '10.%' or ip like '192.168.%' or ip like '127.%' or try_cast(split_part(ip, '.', 1) as int) >= 224) as public from (select (user_id % 256) || '.' || (event_id % 256) || '.1.' || (event_id % 250) as ip from events) where split_part(ip, '.', 1)::int not in (0, 100, 169, 172, 198, 203) and not (ip like '192.%' and ip not like '192.168.%')""")
+@query("""select ip, not (a in (0, 10, 127) or a >= 224 or (a = 100 and b between 64 and 127) or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 198 and b in (18, 19))) as public from (select *, split_part(ip, '.', 1)::int as a, split_part(ip, '.', 2)::int as b from (select (user_id % 256) || '.' || (event_id % 256) || '.1.' || (event_id % 250) as ip from events))""")
 def hdr12_public_ip(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     m = lambda c, n: F.pmod(c, F.lit(n)).cast("string")
     ip = F.concat_ws(".", m("user_id", 256), m("event_id", 256), F.lit("1"), m("event_id", 250))
-    first = F.substring_index("ip", ".", 1).cast("int")
-    rows = e.select(ip.alias("ip")).where(~first.isin(0, 100, 169, 172, 198, 203) & ~((first == 192) & ~F.startswith("ip", F.lit("192.168."))))
+    rows = e.select(ip.alias("ip"))
     return rows.withColumn("public", urls.public_ipv4(F.col("ip")))
 
 
@@ -506,10 +505,12 @@ def chk01_windows(spark, sf_dir):
     return scoring.chunks(rows, "doc_id", "tokens", payload=60, overlap=15).select("doc_id", "chunk", "start")
 
 
-@query("""with d as (select doc_id, [w for w in string_split_regex(text, '\\s+') if w <> ''] as w from documents where doc_id % 4 = 0) select doc_id, 0 as chunk, '[CLS] ' || array_to_string(w[1:510], ' ') || ' [SEP]' as tokens from d where len(w) <= 510""")
+@query("""with d as (select doc_id, [w for w in string_split_regex(text, '\\s+') if w <> ''] as w from documents), s as (select doc_id, w, len(w) as n, case when len(w) <= 510 then [0] else list_sort(list_distinct(range(0, len(w) - 510 + 1, 382) || [len(w) - 510])) end as a from d),
+    o as (select doc_id, w, i::int as chunk, case when len(a) > 8 then a[(round_even(i * (len(a) - 1) / 7.0, 0))::int + 1] else a[i + 1] end as start from s, range(0, 8) t(i) where i < least(len(a), 8))
+    select doc_id, chunk, '[CLS]' || case when len(w) = 0 then '' else ' ' end || array_to_string(w[start + 1:start + 510], ' ') || ' [SEP]' as tokens from o""")
 def chk02_prepared(spark, sf_dir):
-    rows = documents(spark, sf_dir).where(F.pmod("doc_id", F.lit(4)) == 0).select("doc_id", text.words(F.col("text")).alias("tokens"))
-    return scoring.chunks(rows.where(F.size("tokens") <= 510), "doc_id", "tokens").select("doc_id", "chunk", F.array_join("tokens", " ").alias("tokens"))
+    rows = documents(spark, sf_dir).select("doc_id", text.words(F.col("text")).alias("tokens"))
+    return scoring.chunks(rows, "doc_id", "tokens").select("doc_id", "chunk", F.array_join("tokens", " ").alias("tokens"))
 
 
 LOGITS = "select label as owner, vec_id as chunk, embedding[1]::double as logit_neg, embedding[2]::double as logit_pos from embeddings"
@@ -785,11 +786,11 @@ def pol02_answer_facts(spark, sf_dir):
     return r.select("c_custkey", F.col("j").isNotNull().alias("has_json"), *policy.facts(F.col("j"))).select("c_custkey", "has_json", "requested_action", "action_channel", "confidence", "asks_for_payment")
 
 
-@query("select doc_id, true as exact, length(text) > 0 as near from documents where length(text) between 200 and 2000")
+@query(r"""with q as (select doc_id, trim(regexp_replace(substr(text, 20, 60), '\s+', ' ', 'g')) as q from documents) select doc_id, q <> '' as exact, case when length(q) >= 40 then true end as near from q""")
 def pol03_grounding(spark, sf_dir):
-    d = documents(spark, sf_dir).where(F.length("text").between(200, 2000))
-    quote = F.upper(F.trim(F.substring("text", 20, 60)))
-    return d.select("doc_id", policy.grounded(quote, F.col("text")).alias("exact"), policy.grounded(F.concat(F.substring(quote, 1, 58), F.lit("xx")), F.col("text")).alias("near"))
+    quote = text.collapse(F.upper(F.substring("text", 20, 60)))
+    near = F.when(F.length(quote) >= 40, policy.grounded(F.concat(F.substring(quote, 1, 58), F.lit("xx")), F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", policy.grounded(quote, F.col("text")).alias("exact"), near.alias("near"))
 
 
 @query("select user_id, event_id as section, round(value, 6) as score, event_type from (select *, row_number() over (partition by user_id order by value desc, event_id) as k from events) where k = 1")
