@@ -193,3 +193,25 @@ def manifest(spark, path: str, pattern: str = "*") -> DataFrame:
     """(path, bytes, sha256) of the files below path."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def compose(public: DataFrame, synthetic: DataFrame, share: float = fixed.MAX_SYNTHETIC_SHARE, seed: str = "42") -> DataFrame:
+    """public (text_hash, label, source, split) and, in its training split, as many synthetic rows (text_hash, label, source) as make up at most `share` of it.
+
+    The number is even, half of it of each label; those with the least hash of the seed are taken, and none whose text is public already.
+    """
+    n = public.where("split = 'train'").count()
+    half = int(share * n / (1 - share)) // 2
+    fresh = synthetic.join(public.select("text_hash"), "text_hash", "left_anti")
+    fresh = first_wins(fresh.withColumn("ord", F.sha2(F.concat_ws(":", F.lit(seed), "text_hash"), 256)), "text_hash")
+    counts = {r["label"]: r["n"] for r in fresh.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    half = min(half, counts.get(0, 0), counts.get(1, 0))
+    ranked = rank_within(fresh, ["label"], ["ord"]).where(F.col("rank") <= half)
+    return public.select("text_hash", "label", "source", "split").unionByName(ranked.select("text_hash", "label", "source", F.lit("train").alias("split")))
+
+
+def source_policy(names: list[str]) -> tuple[list[str], list[str]]:
+    """(sources to build from, in order and once; sources that are refused)."""
+    told = list(dict.fromkeys(names))
+    refused = [x for x in told if x in fixed.DISALLOWED_SOURCES or x in fixed.LEGACY_SOURCES]
+    return [x for x in told if x not in refused], refused

@@ -94,3 +94,24 @@ def worst(rows: DataFrame, keys: list[str], status: str = "status", order: str =
 
 def spf_status(raw: Column) -> Column:
     return F.lower(F.regexp_extract(raw, r"^\s*([A-Za-z0-9_-]+)", 1))
+
+
+def merged_results(keys: list[str], **sources: DataFrame) -> DataFrame:
+    """The worst status of each key over several sources of results (…, ord, status), with the source that it is from; earlier sources win ties."""
+    from functools import reduce
+
+    tagged = [df.select(*keys, (F.col("ord") + F.lit(i * 1000)).alias("ord"), "status", F.lit(name).alias("source")) for i, (name, df) in enumerate(sources.items())]
+    rows = reduce(DataFrame.unionByName, tagged)
+    top = F.max(F.struct(auth_priority(F.col("status")).alias("p"), (-F.col("ord")).alias("back"), "status", "source")).alias("top")
+    return rows.groupBy(*keys).agg(top, F.count("*").alias("n_results")).select(*keys, "top.status", "top.source", "n_results")
+
+
+def shown_status(effective: Column, direct: Column, arc: Column, received: Column, has_signature: Column | None = None) -> Column:
+    """The status to show: the first known one, `present` for a signature without a result, else none."""
+    signed = F.when(has_signature, "present") if has_signature is not None else F.lit(None).cast("string")
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (effective, direct, arc, received)], signed, F.lit("none"))
+
+
+def sender_domains(sender: Column, return_path: Column, reply_to: Column) -> Column:
+    """The different domains of a message's sender addresses, in that order."""
+    return F.array_distinct(F.filter(F.array(*[urls.domain(urls.address(c)) for c in (sender, return_path, reply_to)]), lambda d: F.coalesce(d != "", F.lit(False))))

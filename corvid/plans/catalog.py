@@ -1030,3 +1030,54 @@ def chk03_chunk_weights(spark, sf_dir):
 def pol15_sections(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+
+
+from corvid.operators import classify  # noqa: E402
+
+GUESS = ", ".join(f"{{'n': len([w for w in ws if w in ({values(v)})]), 'o': -{i}, 'l': '{k}'}}" for i, (k, v) in enumerate(classify.FUNCTION_WORDS.items()))
+
+
+@query(rf"""with w as (select doc_id, text, [x for x in string_split_regex(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), '\s+') if x <> ''] as ws from documents), c as (select doc_id, text, unnest([{GUESS}]) as c from w)
+    select doc_id, case when any_value(length(text)) < 20 or max(c.n) = 0 then 'unknown' else arg_max(c.l, c.n * 100 + c.o) end as guess from c group by doc_id""")
+def eda02_language_guess(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", classify.language_guess(F.col("text")).alias("guess"))
+
+
+@query()
+def scr02_stand_in_logits(spark, sf_dir):
+    d = documents(spark, sf_dir).where("text is not null")
+    model = classify.fit(d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"))
+    return classify.logits(model, d, "doc_id")
+
+
+PUBLIC = f"select sha256({N_TEXT}) as text_hash, doc_id % 2 as label, source, {SPLIT_SQL} as split from documents where doc_id % 10 < 8"
+
+
+@query(f"""with p as ({PUBLIC}), s as (select distinct sha256({N_TEXT}) as text_hash, min(doc_id) over (partition by sha256({N_TEXT})) % 4 // 2 as label from documents where doc_id % 10 >= 8), f as (select * from s where text_hash not in (select text_hash from p)),
+    h as (select least((floor(0.1 * (select count(*) from p where split = 'train') / (1 - 0.1))::bigint) // 2, (select count(*) from f where label = 0), (select count(*) from f where label = 1)) as half), k as (select *, row_number() over (partition by label order by sha256('42:' || text_hash)) as k from f)
+    select text_hash, label, source, split from p union all select text_hash, label, 'synthetic_x', 'train' from k, h where k <= half""")
+def cmp07_compose(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("text_hash", text.text_hash(text.normalize(F.col("text"))))
+    old = F.pmod("doc_id", F.lit(10)) < 8
+    public = d.where(old).select("text_hash", F.pmod("doc_id", F.lit(2)).alias("label"), "source", corpus.hash_split(d, "doc_id").alias("split"))
+    extra = d.where(~old).groupBy("text_hash").agg(F.floor(F.pmod(F.min("doc_id"), F.lit(4)) / 2).alias("label")).withColumn("source", F.lit("synthetic_x"))
+    return corpus.compose(public, extra)
+
+
+@query("""select c_custkey, case when c_custkey % 3 = 0 then 'fail' when c_custkey % 2 = 0 then 'softfail' else 'pass' end as status, case when c_custkey % 3 = 0 then 'arc' when c_custkey % 2 = 0 then 'spf_header' else 'direct' end as source, 3 as n_results from customer""")
+def rcv10_merged_results(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.lit(0).alias("ord"))
+    k = F.col("c_custkey")
+    return headers.merged_results(["c_custkey"], direct=c.withColumn("status", F.lit("pass")), arc=c.withColumn("status", F.when(k % 3 == 0, "fail").otherwise("pass")), spf_header=c.withColumn("status", F.when(k % 2 == 0, "softfail").otherwise("pass")))
+
+
+@query("select c_custkey, case c_custkey % 4 when 0 then 'pass' when 1 then 'fail' when 2 then 'present' else 'none' end as shown from customer")
+def rcv11_shown_status(spark, sf_dir):
+    m = F.pmod("c_custkey", F.lit(4))
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "customer").select("c_custkey", headers.shown_status(F.when(m == 0, "pass"), F.when(m == 1, "fail").otherwise(""), none, none, m == 2).alias("shown"))
+
+
+@query(rf"select c_custkey, [lower(regexp_extract(a, '@([\p{{L}}\p{{N}}_.\-]+)', 1)), lower(regexp_extract(b, '@([\p{{L}}\p{{N}}_.\-]+)', 1))] as domains from ({PARTS})")
+def rcv12_sender_domains(spark, sf_dir):
+    return senders(spark, sf_dir).select("c_custkey", headers.sender_domains(F.col("sender"), F.col("sender"), F.col("reply")).alias("domains"))
