@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.operators.graph import connected_components
@@ -20,6 +21,8 @@ TABLES, PARTS, PROBES, UNIT = 6, 2, 32, 0.23
 #: Nearest neighbours of a point that are considered in each part.
 NEAR = 12
 SEED = 20_240_501
+#: Angles nearer than this to a bound are not trusted: such pairs are verified by their cosines.
+MARGIN = 1e-6
 
 
 @cache
@@ -95,14 +98,14 @@ def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, unit: float
     return np.stack(own, axis=1), np.stack(probed, axis=1)
 
 
-def entries(classes: DataFrame) -> DataFrame:
-    """Rows (cell, cid, home) of classes (cid, group, unit): a row for each table's own cell (home) and for each cell probed."""
+def entries(classes: DataFrame, own_only: bool = False) -> DataFrame:
+    """Rows (cell, id, home) of classes (id, group, unit): a row for each table's own cell (home) and, unless own_only, for each cell probed."""
     ship(classes.sparkSession)
     block = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cid, group = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, group = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.diff(b.column(2).offsets.to_numpy())
             for dims in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dims)
@@ -111,32 +114,69 @@ def entries(classes: DataFrame) -> DataFrame:
                     x = np.array([b.column(2)[int(i)].as_py() for i in some])
                     own, probed = cells(x)
                     salt = mixed(np.stack([group[some], np.full(len(some), dims)], axis=1))
-                    for found, home in ((own[:, :, None], True), (probed, False)):
+                    for found, home in ((own[:, :, None], True), (probed, False))[: 1 if own_only else 2]:
                         key = (found ^ salt[:, None, None]).reshape(-1).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(cid[some], found.shape[1] * found.shape[2])), pa.array(np.full(len(key), home))], ["cell", "cid", "home"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids[some], found.shape[1] * found.shape[2])), pa.array(np.full(len(key), home))], ["cell", "id", "home"])
 
-    return classes.select("cid", "group", "unit").mapInArrow(run, "cell bigint, cid bigint, home boolean")
+    return classes.select("id", "group", "unit").mapInArrow(run, "cell bigint, id bigint, home boolean")
 
 
-def links(classes: DataFrame, least: float = COSINE) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (cid, group, unit) of one group with a cosine of `least` or more."""
-    rows = entries(classes)
-    homes = rows.where("home").select("cell", F.col("cid").alias("h"))
-    found = rows.where("not home").select("cell", F.col("cid").alias("p")).join(homes.hint("shuffle_hash"), "cell").where("h != p")
-    pairs = found.select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
-    side = lambda n: classes.select(F.col("cid").alias(n), F.col("group").alias(f"g{n}"), F.col("label").alias(f"l{n}"), F.col("unit").alias(f"u{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return both.where((F.col("la") == F.col("lb")) & (F.size("ua") == F.size("ub"))).where(dot >= least).select("a", "b")
+def dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def angle(a: str, b: str) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+
+
+def balls(classes: DataFrame, least: float) -> DataFrame:
+    """Rows (id, ball) of classes (id, group, label, unit): balls so small that all their members link.
+
+    In each table the least id of a cell leads; a class follows the least leader that is within half the
+    linking angle. A ball's centre is its members' mean, its radius the farthest member's angle; if twice
+    the radius is more than the linking angle, its members stay alone. Balls of several have odd numbers, those of one class even ones.
+    """
+    limit = math.acos(least)
+    own = cut(entries(classes, own_only=True).select("cell", "id"))
+    led = own.join(own.groupBy("cell").agg(F.min("id").alias("leader")), "cell").where("leader < id").select("id", "leader").distinct()
+    side = lambda n: classes.select(F.col("id").alias(n), F.col("label").alias(f"l_{n}"), F.col("unit").alias(f"u_{n}"))
+    near = led.join(side("id"), "id").join(side("leader"), "leader").where((F.col("l_id") == F.col("l_leader")) & (F.size("u_id") == F.size("u_leader"))).where(dot("u_id", "u_leader") >= math.cos(limit / 2 - MARGIN))
+    joined = classes.select("id", "unit").join(near.groupBy("id").agg(F.min("leader").alias("leader")), "id", "left").select("id", "unit", F.coalesce("leader", "id").alias("lead"))
+    big = joined.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1").select("lead")
+    members = cut(joined.join(big, "lead"))
+    middle = centres(members, "lead")
+    tight = members.join(middle, "lead").groupBy("lead").agg(F.max(angle("unit", "centre")).alias("r")).where(2 * F.col("r") <= limit - MARGIN).select("lead")
+    kept = members.join(tight, "lead").select("id", (2 * F.col("lead") + 1).alias("ball"))
+    return classes.select("id").join(kept, "id", "left").select("id", F.coalesce("ball", 2 * F.col("id")).alias("ball"))
+
+
+def centres(members: DataFrame, by: str) -> DataFrame:
+    """Rows (by, centre): the direction of each group's mean. Sums are partial; a group's list has one entry for each dimension."""
+    mean = members.select(by, F.posexplode("unit").alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("x"))
+    whole = mean.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).withColumn("v", F.transform("v", lambda e: e["x"]))
+    norm = F.sqrt(dot("v", "v"))
+    return whole.withColumn("norm", norm).select(by, F.expr("transform(v, e -> e / norm)").alias("centre"))
+
+
+def meeting(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of balls with members of which one probes the other's own cell. A ball is entered once in a cell, however many members it has."""
+    rows = entries(classes.select(F.col("ball").alias("id"), "group", "unit"))
+    rows = rows.where("id % 2 = 0").unionByName(rows.where("id % 2 = 1").distinct())
+    rows = cut(rows)
+    homes = rows.where("home").select("cell", F.col("id").alias("h"))
+    found = rows.where("not home").select("cell", F.col("id").alias("p")).join(homes.hint("shuffle_hash"), "cell").where("h != p")
+    return found.select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = COSINE) -> DataFrame:
     """Rows (key, n_links, component, kept): for each row of vectors the number of other rows that it links with, and the least key reachable.
 
     Rows link if their labels are equal and not null and their vectors' cosine, in double precision, is
-    `least` or more. Equal vectors are one class, entered once and counted by size, so copies make no pairs. A class's
-    vector is projected in each table and decoded to E8 points; a class meets those whose own cell it
-    probes, among the cells nearest to it; every pair that meets is verified by its cosine.
+    `least` or more. Equal vectors are one class. Classes are projected in each table and decoded to E8 points;
+    a class meets those whose own cell it probes, among the cells nearest to it. Classes so close together
+    that all of them link make a ball, which is entered once in a cell and counted by size. Balls that meet are
+    verified: by their centres and radii where these prove that all or none of their members link, else
+    member by member. So neither copies nor dense groups of near copies make pairs.
 
     Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, rows with a null label, and vectors of
     different dimension link with nothing (0 links, their own component). Repeated rows are rows of their
@@ -149,14 +189,35 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("good", good)
     scaled = F.transform(x, lambda e: e / F.array_max(F.transform(x, F.abs)))
     made = rows.where("good").groupBy("label", "v").agg(F.min("key").alias("low"), F.count("*").alias("m"))
-    made = made.withColumn("cid", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("label")).withColumn("s", scaled)
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda s, e: s + e * e))
-    classes = cut(made.withColumn("n", norm).withColumn("unit", F.expr("transform(s, e -> e / n)")).drop("s", "n"))
-    linked = cut(links(classes, least))
-    degree = linked.select("a", "b").union(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(classes.select(F.col("cid").alias("b"), "m"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("m").alias("others"))
-    parts = connected_components(linked).withColumnRenamed("node", "cid")
-    rooted = classes.select("cid", "label", "v", "low", "m").join(parts, "cid", "left").join(degree, "cid", "left").withColumn("root", F.coalesce("root", "cid")).withColumn("n_links", F.col("m") - 1 + F.coalesce("others", F.lit(0)))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    told = rooted.join(lows, "root").select("label", "v", "n_links", "component")
+    made = made.withColumn("id", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("label")).withColumn("s", scaled)
+    classes = cut(made.withColumn("n", F.sqrt(dot("s", "s"))).withColumn("unit", F.expr("transform(s, e -> e / n)")).drop("s", "n"))
+    classes = cut(classes.join(balls(classes, least), "id"))
+
+    sizes = classes.groupBy("ball").agg(F.sum("m").alias("total"), F.min("low").alias("low"))
+    several = classes.where("ball % 2 = 1")
+    middle = centres(several, "ball")
+    radii = several.join(middle, "ball").groupBy("ball").agg(F.max(angle("unit", "centre")).alias("r"), F.first("centre").alias("centre"), F.first("label").alias("label"))
+    points = classes.where("ball % 2 = 0").select("ball", F.lit(0.0).alias("r"), F.col("unit").alias("centre"), "label").unionByName(radii)
+    points = cut(points.join(sizes.select("ball", "total"), "ball"))
+    side = lambda n: points.select(F.col("ball").alias(n), F.col("r").alias(f"r_{n}"), F.col("centre").alias(f"c_{n}"), F.col("label").alias(f"l_{n}"), F.col("total").alias(f"t_{n}"))
+    limit = math.acos(least)
+    apart = F.when(F.col("r_a") + F.col("r_b") > 0, angle("c_a", "c_b"))
+    both = meeting(classes).join(side("a"), "a").join(side("b"), "b").where((F.col("l_a") == F.col("l_b")) & (F.size("c_a") == F.size("c_b"))).withColumn("apart", apart)
+    reach = F.col("r_a") + F.col("r_b")
+    single = (reach == 0) & (dot("c_a", "c_b") >= least)
+    all_of = (reach > 0) & (F.col("apart") + reach <= limit - MARGIN)
+    some_of = (reach > 0) & ~all_of & (F.col("apart") - reach <= limit + MARGIN)
+    judged = cut(both.withColumn("kind", F.when(single | all_of, "all").when(some_of, "some")).where("kind is not null").select("a", "b", "t_a", "t_b", "kind"))
+
+    whole = judged.where("kind = 'all'")
+    member = lambda n: classes.select(F.col("ball").alias(n), F.col("id").alias(f"i_{n}"), F.col("m").alias(f"m_{n}"), F.col("unit").alias(f"u_{n}"))
+    part = cut(judged.where("kind = 'some'").select("a", "b").join(member("a"), "a").join(member("b"), "b").where(dot("u_a", "u_b") >= least).select("a", "b", "i_a", "i_b", "m_a", "m_b"))
+    by_ball = whole.select(F.col("a").alias("ball"), F.col("t_b").alias("t")).union(whole.select("b", "t_a")).groupBy("ball").agg(F.sum("t").alias("more"))
+    by_class = part.select(F.col("i_a").alias("id"), F.col("m_b").alias("t")).union(part.select("i_b", "m_a")).groupBy("id").agg(F.sum("t").alias("others"))
+    parts = connected_components(whole.select("a", "b").union(part.select("a", "b"))).withColumnRenamed("node", "ball")
+    named = sizes.join(parts, "ball", "left").join(by_ball, "ball", "left").withColumn("root", F.coalesce("root", "ball"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component"))
+    named = named.join(lows, "root").select("ball", "component", (F.col("total") - 1 + F.coalesce("more", F.lit(0))).alias("linked"))
+    told = classes.select("id", "ball", "label", "v").join(named, "ball").join(by_class, "id", "left").select("label", "v", (F.col("linked") + F.coalesce("others", F.lit(0))).alias("n_links"), "component")
     out = rows.where("good").join(told, ["label", "v"]).select("key", "n_links", "component")
     return out.unionByName(rows.where("not good").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))).withColumn("kept", F.col("key").eqNullSafe(F.col("component")))

@@ -301,3 +301,22 @@ def test_main_text_of_pages(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         parts = (" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert r["text"] == "\n\n".join(x for x in parts if x)
+
+
+def test_dense_groups_count_their_links(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for spread in (0.004, 0.012, 0.02, 0.03, 0.04, 0.05):
+        base = rng.normal(size=64)
+        base /= np.linalg.norm(base)
+        rows += [(base + spread * rng.normal(size=64)).tolist() for _ in range(120)]
+    rows += rng.normal(size=(200, 64)).tolist()
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(i, r, 1) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
+    got = lattice.near_duplicates(df).orderBy("key").collect()
+    n = np.array([r["n_links"] for r in got])
+    want = components(range(len(x)), np.argwhere(np.triu(true)).tolist())
+    assert (n <= true.sum(axis=1)).all() and n.sum() >= 0.99 * true.sum()
+    assert sum(r["component"] != want[r["key"]] for r in got) <= 2
