@@ -23,6 +23,8 @@ NEAR = 12
 SEED = 20_240_501
 #: Angles nearer than this to a bound are not trusted: such pairs are verified by their cosines.
 MARGIN = 1e-6
+#: Tasks that a large ball's members are dealt to.
+SALT = 32
 
 
 @cache
@@ -145,7 +147,7 @@ def balls(classes: DataFrame, least: float) -> DataFrame:
     big = joined.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1").select("lead")
     members = cut(joined.join(big, "lead"))
     middle = centres(members, "lead")
-    tight = members.join(middle, "lead").groupBy("lead").agg(F.max(angle("unit", "centre")).alias("r")).where(2 * F.col("r") <= limit - MARGIN).select("lead")
+    tight = salted_join(members, middle, "lead").groupBy("lead").agg(F.max(angle("unit", "centre")).alias("r")).where(2 * F.col("r") <= limit - MARGIN).select("lead")
     kept = members.join(tight, "lead").select("id", (2 * F.col("lead") + 1).alias("ball"))
     return classes.select("id").join(kept, "id", "left").select("id", F.coalesce("ball", 2 * F.col("id")).alias("ball"))
 
@@ -158,6 +160,12 @@ def centres(members: DataFrame, by: str) -> DataFrame:
     return whole.withColumn("norm", norm).select(by, F.expr("transform(v, e -> e / norm)").alias("centre"))
 
 
+def salted_join(members: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """members (id, by, …) with the columns of their group; a large group's members are dealt to SALT tasks."""
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(copies, [by, "salt"]).drop("salt")
+
+
 def meeting(classes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of balls with members of which one probes the other's own cell. A ball is entered once in a cell, however many members it has."""
     rows = entries(classes.select(F.col("ball").alias("id"), "group", "unit"))
@@ -196,7 +204,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sizes = classes.groupBy("ball").agg(F.sum("m").alias("total"), F.min("low").alias("low"))
     several = classes.where("ball % 2 = 1")
     middle = centres(several, "ball")
-    radii = several.join(middle, "ball").groupBy("ball").agg(F.max(angle("unit", "centre")).alias("r"), F.first("centre").alias("centre"), F.first("label").alias("label"))
+    radii = salted_join(several, middle, "ball").groupBy("ball").agg(F.max(angle("unit", "centre")).alias("r"), F.first("centre").alias("centre"), F.first("label").alias("label"))
     points = classes.where("ball % 2 = 0").select("ball", F.lit(0.0).alias("r"), F.col("unit").alias("centre"), "label").unionByName(radii)
     points = cut(points.join(sizes.select("ball", "total"), "ball"))
     side = lambda n: points.select(F.col("ball").alias(n), F.col("r").alias(f"r_{n}"), F.col("centre").alias(f"c_{n}"), F.col("label").alias(f"l_{n}"), F.col("total").alias(f"t_{n}"))
