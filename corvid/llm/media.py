@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.plans.session import ship
+from corvid.llm.warc import remove
+from corvid.plans.session import cut, shared_folder, ship
 
 UNKNOWN = "application/octet-stream"
 FRAME = 576
@@ -352,3 +354,13 @@ def measure(stored: DataFrame) -> DataFrame:
             yield pd.DataFrame([features(x) for x in files], columns=names)
 
     return stored.select("key", "n_bytes", run("media").alias("r")).select("key", "n_bytes", "r.*")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """measure's rows for docs whose files were written to a table in the shared folder and read back; checkpointed, and the table removed."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    store(docs, key, text).write.option("compression", "zstd").parquet(path)
+    out = cut(measure(spark.read.parquet(path)))
+    remove(spark, path)
+    return out

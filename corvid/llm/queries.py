@@ -15,7 +15,7 @@ def op1_langid(spark, sf_dir):
 
 
 def op2_media(spark, sf_dir):
-    return media.measure(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+    return media.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
 def op3_lattice(spark, sf_dir):
