@@ -67,3 +67,13 @@ BOILERPLATE_LINE = (
     r"if you no longer wish to receive|to opt out of future communications|if you'd like me to stop sending you emails|if you would like me to stop sending you emails|unsubscribe\b|informativa privacy\b|riservatezza\b|avvertenza di riservatezza\b|nota di riservatezza\b)"
 )
 SIGN_OFF = r"(?i)^\s*(?:cordiali saluti|distinti saluti|un saluto|saluti|best regards|kind regards|regards|thanks|thank you|good luck|sincerely|cheers)\s*,?\s*$"
+ANONYMOUS = [
+    (r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "[IBAN]"),
+    (r"(?U)(?<!\w)\+?\d[\d .()/-]{7,}\d\b", "[PHONE]"),
+    (r"(?U)\b(?:\d[ -]?){13,19}\b", "[POSSIBLE_CARD_OR_ACCOUNT]"),
+    (r"(?U)\b(?:[A-Za-z0-9._%+-]+)@(?:[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b", "[EMAIL ADDRESS]"),
+    (r"\bhttps?://[^\s<>\"]+", "[URL LINK]"),
+    (r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP ADDRESS]"),
+    (r"(?iU)\b(Ciao|Gentile|Buongiorno|Buonasera|Salve)\s+\p{L}[\p{L}\p{N}_' -]{2,}", "$1 [PERSON]"),
+    (r"(?iU)\b(Sig\.?|Sig\.ra|Dott\.?|Dott\.ssa|Mr\.?|Mrs\.?|Ms\.?)\s+\p{L}[\p{L}\p{N}_' -]{2,}", "$1 [PERSON]"),
+]

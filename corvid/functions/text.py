@@ -149,3 +149,10 @@ def overlapping(text: Column, limit: int, overlap: int | None = None) -> Column:
         return texts.map(lambda t: pieces(t or ""))
 
     return run(text)
+
+
+def anonymize(text: Column) -> Column:
+    """Private values and the names after salutations and titles replaced by labels, in the fixed order."""
+    for pattern, label in fixed.ANONYMOUS:
+        text = F.regexp_replace(text, pattern, label)
+    return text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions import fixed, urls
@@ -45,8 +45,18 @@ def attachment_role(disposition: Column, content_id: Column, content_type: Colum
     return F.when(inline & F.startswith(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("image/")), "inline_resource").otherwise("attachment")
 
 
-#: Names in a PDF that carry a risk, and its severity.
-PDF_NAMES = {"JavaScript": "high", "JS": "high", "Launch": "critical", "OpenAction": "medium", "AA": "medium", "EmbeddedFile": "medium", "RichMedia": "high", "XFA": "medium", "SubmitForm": "high", "GoToR": "medium", "URI": "low", "AcroForm": "low", "ObjStm": "low", "Encrypt": "medium"}
+# fixed values: indicators in a PDF by their names, with a severity; those that are a behaviour; those that are context only
+PDF_INDICATORS = {
+    "javascript": (["JavaScript", "JS"], "high"), "open_action": (["OpenAction"], "medium"), "additional_action": (["AA"], "high"), "launch_action": (["Launch"], "critical"), "embedded_file": (["EmbeddedFile", "Filespec", "EmbeddedFiles"], "high"), "acroform": (["AcroForm"], "low"),
+    "xfa": (["XFA"], "high"), "uri": (["URI"], "low"), "submit_form": (["SubmitForm"], "high"), "rich_media": (["RichMedia", "Movie", "Sound", "3D"], "high"), "remote_goto": (["GoToR", "GoToE"], "low"), "import_data": (["ImportData"], "high"), "jbig2": (["JBIG2Decode"], "low"),
+    "object_stream": (["ObjStm", "XRefStm"], "info"), "uri_nested_redirect": ([], "high"), "uri_tracked_redirect": ([], "high"), "public_site_landing": ([], "high"),
+}
+PDF_BEHAVIOURS = ["launch_action", "javascript", "submit_form", "import_data", "xfa", "embedded_file", "rich_media", "additional_action", "uri_nested_redirect", "uri_tracked_redirect", "public_site_landing"]
+PDF_OPENERS = ["javascript", "launch_action", "submit_form", "rich_media", "import_data"]
+PDF_CONTEXT = ["uri", "remote_goto", "jbig2", "object_stream", "acroform"]
+REDIRECT_PARAMS = ["url", "u", "uri", "target", "to", "dest", "destination", "redirect", "redirect_uri", "return", "returnurl", "next", "continue", "__url"]
+TRACKING_PARAMS = ["uid", "analytics", "track", "click", "pixel", "count", "campaign", "visitor", "session"]
+TRACKING_PATHS = ["analytics", "tracking", "track", "pixel", "count"]
 
 
 def unescape_names(body: Column) -> Column:
@@ -57,16 +67,59 @@ def unescape_names(body: Column) -> Column:
 
 
 def pdf_scan(payload: Column) -> Column:
-    """(counts by name, objects, streams, eof, urls) of a PDF's bytes, read as Latin-1."""
+    """(indicators as a map of counts, objects, streams, eof, encrypted, urls) of a PDF's bytes, read as Latin-1."""
     text = F.decode(payload, "ISO-8859-1")
     body = F.when(text.rlike("#[0-9a-fA-F]{2}"), unescape_names(text)).otherwise(text)
-    names = F.map_from_arrays(F.array(*map(F.lit, PDF_NAMES)), F.array(*[F.regexp_count(body, F.lit(rf"/{n}(?![A-Za-z0-9])")) for n in PDF_NAMES]))
-    return F.struct(F.map_filter(names, lambda k, v: v > 0).alias("names"), F.regexp_count(body, F.lit(r"\b\d+\s+\d+\s+obj\b")).alias("objects"), F.regexp_count(body, F.lit(r"\bstream\b")).alias("streams"), F.regexp_count(body, F.lit("%%EOF")).alias("eof"), F.array_distinct(F.regexp_extract_all(body, F.lit(r"https?://[^\s<>()\"']+"), F.lit(0))).alias("urls"))
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"https?://[^\s<>()\[\]{}\"']+"), F.lit(0)))
+    by_name = {k: F.regexp_count(body, F.lit(rf"/(?:{'|'.join(names)})(?![A-Za-z0-9])")) for k, (names, _) in PDF_INDICATORS.items() if names}
+    by_url = {"uri_nested_redirect": lambda u: F.size(nested_redirects(u)) > 0, "uri_tracked_redirect": lambda u: tracked(u) & (F.size(nested_redirects(u)) > 0), "public_site_landing": public_landing}
+    counts = by_name | {k: F.size(F.filter(found, f)) for k, f in by_url.items()}
+    names = F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*counts.values()))
+    return F.struct(F.map_filter(names, lambda k, v: v > 0).alias("names"), F.regexp_count(body, F.lit(r"\b\d+\s+\d+\s+obj\b")).alias("objects"), F.regexp_count(body, F.lit(r"\bstream\b")).alias("streams"), F.regexp_count(body, F.lit("%%EOF")).alias("eof"), body.rlike(r"/Encrypt(?![A-Za-z0-9])").alias("encrypted"), found.alias("urls"))
 
 
-def pdf_risk(names: Column) -> Column:
-    levels = F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in PDF_NAMES.items() for x in kv]), lambda k, v: F.map_contains_key(names, k)))
-    return F.when(F.array_contains(levels, "critical"), "critical").when(F.array_contains(levels, "high"), "high").when(F.array_contains(levels, "medium"), "medium").when(F.size(levels) > 0, "low").otherwise("clean")
+def pdf_indicators(names: Column) -> Column:
+    """The indicators as (severity, count, key), the worst first, then the most frequent."""
+    rank = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
+    table = F.create_map(*[x for k, (_, level) in PDF_INDICATORS.items() for x in (F.lit(k), F.struct(F.lit(rank[level]).alias("rank"), F.lit(level).alias("severity")))])
+    rows = F.array_sort(F.transform(F.map_entries(names), lambda e: F.struct(F.element_at(table, e["key"])["rank"].alias("rank"), (-e["value"]).alias("back"), e["key"].alias("key"))))
+    return F.transform(rows, lambda r: F.struct(F.element_at(table, r["key"])["severity"].alias("severity"), (-r["back"]).alias("count"), r["key"].alias("key")))
+
+
+def pdf_behaviours(names: Column) -> Column:
+    """What a PDF does by its indicators, the worst first; opening counts only beside something that acts."""
+    has = lambda k: F.map_contains_key(names, k)
+    acts = has(PDF_OPENERS[0])
+    for k in PDF_OPENERS[1:]:
+        acts = acts | has(k)
+    return F.array_compact(F.array(*[F.when(has(k), k) for k in PDF_BEHAVIOURS], F.when(has("open_action") & acts, "open_action")))
+
+
+def pdf_risk(names: Column, encrypted: Column | None = None) -> Column:
+    context = F.size(F.array_intersect(F.map_keys(names), F.array(*map(F.lit, PDF_CONTEXT)))) > 0
+    done = pdf_behaviours(names)
+    return F.when(F.array_contains(done, "launch_action"), "critical").when(F.size(done) > 0, "high").when(F.lit(False) if encrypted is None else encrypted, "medium").when(context, "low").otherwise("clean")
+
+
+def tracked(url: Column) -> Column:
+    """Whether a URL's place or its parameters' names speak of tracking."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    place = F.concat_ws(" ", urls.host(u), urls.path(u))
+    names = F.transform(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda kv: F.substring_index(kv, "=", 1))
+    return place.rlike("|".join(TRACKING_PATHS)) | F.exists(names, lambda n: n.rlike("|".join(TRACKING_PARAMS)))
+
+
+def public_landing(url: Column) -> Column:
+    """Whether a URL leads to a page or form that anyone can put up (hosts and paths are fixed values)."""
+    h, p = urls.host(url), F.lower(urls.path(url))
+    return ((h == "sites.google.com") & p.startswith("/view/")) | h.isin("forms.gle", "forms.office.com") | ((h == "docs.google.com") & p.startswith("/forms/"))
+
+
+def uri_evidence(scans: DataFrame, key: str, found: str = "urls", samples: int = 5) -> DataFrame:
+    """Rows (key, url_count, nested_redirect_count, tracked_redirect_count, public_site_landing_count, samples) over a message's different URLs (array column)."""
+    u = F.col(found)
+    nested = F.filter(u, lambda x: F.size(nested_redirects(x)) > 0)
+    return scans.select(key, F.size(u).alias("url_count"), F.size(nested).alias("nested_redirect_count"), F.size(F.filter(nested, tracked)).alias("tracked_redirect_count"), F.size(F.filter(u, public_landing)).alias("public_site_landing_count"), F.slice(u, 1, samples).alias("samples"))
 
 
 def severity_flag(severity: Column) -> Column:
@@ -75,7 +128,16 @@ def severity_flag(severity: Column) -> Column:
 
 
 def nested_redirects(url: Column) -> Column:
-    """URLs in a URL's query, percent-decoded up to three times."""
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    values = F.transform(F.split(query, "&"), lambda kv: urls.percent_decoded(F.substring_index(kv, "=", -1)))
-    return F.slice(F.array_distinct(F.filter(values, lambda v: v.rlike("(?i)^https?://"))), 1, 10)
+    """URLs within a URL: those in its parameters, whole ones for redirect parameters, and those that decoding brings to light; percent-decoded up to three times, ten at most."""
+    pattern = F.lit(r"(?i)https?://[^\s<>()\[\]{}\"']+")
+    u = F.coalesce(url, F.lit(""))
+    pairs = F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&")
+
+    def inside(kv):
+        value = urls.percent_decoded(F.substring_index(F.regexp_replace(kv, "^[^=]*=", "\u0001"), "\u0001", -1))
+        whole = F.lower(F.substring_index(kv, "=", 1)).isin(REDIRECT_PARAMS) & value.rlike("(?i)^https?://")
+        return F.when(whole, F.array(value)).otherwise(F.regexp_extract_all(value, pattern, F.lit(0)))
+
+    decoded = urls.percent_decoded(u)
+    more = F.when(decoded != u, F.filter(F.regexp_extract_all(decoded, pattern, F.lit(0)), lambda x: ~x.startswith(F.substring_index(u, "?", 1)))).otherwise(F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(F.concat(F.flatten(F.transform(pairs, inside)), more)), 1, 10)

@@ -151,3 +151,28 @@ def best_candidate(rows: DataFrame, key: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in (key, "score", "section")]
     top = F.max(F.struct("score", (-F.col("section")).alias("back"), *rest)).alias("top")
     return rows.groupBy(key).agg(top).select(key, (-F.col("top.back")).alias("section"), "top.score", *[F.col(f"top.{c}").alias(c) for c in rest])
+
+
+# fixed values: brands with the domains that are theirs, acts that need them, and what a summary may not say
+BRAND_DOMAINS = {"iCloud": ["apple.com", "icloud.com"], "Trust Wallet": ["trustwallet.com"], "Microsoft": ["microsoft.com"], "PayPal": ["paypal.com"], "Netflix": ["netflix.com"]}
+SENSITIVE_ACTIONS = ["provide_credentials", "provide_information", "pay_or_transfer", "verify_account", "change_account_settings"]
+BAD_STARTS = ["untrusted email", "suspicious email", "potential phishing", "possible phishing"]
+BAD_WORDS = ["official portal", "certified portal", "if intercepted", "could be intercepted", "bert", "virustotal", "abuseipdb", "spf", "dkim", "dmarc", "technical checks", "sender is authenticated", "authentication checks"]
+
+
+def brand_mismatch(brand: Column, domain: Column, action: Column) -> Column:
+    """Whether a message that asks for something sensitive claims a known brand from a domain that is not the brand's."""
+    out = F.lit(False)
+    for name, owned in BRAND_DOMAINS.items():
+        own = F.lit(False)
+        for d in owned:
+            own = own | (domain == d) | domain.endswith("." + d)
+        out = out | ((F.lower(F.trim(brand)) == name.lower()) & ~own)
+    return F.coalesce(action.isin(SENSITIVE_ACTIONS) & (domain != "") & out, F.lit(False))
+
+
+def usable_summary(value: Column) -> Column:
+    """Whether a model's summary says what a message asks for, in 4 to 35 words, without a verdict or technical checks."""
+    s = F.lower(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " ")))
+    bad = s.rlike("^(?:" + "|".join(BAD_STARTS) + ")") | s.rlike("|".join(BAD_WORDS)) | s.rlike(r"\b(?:email|message|it|this)\s+(?:is|appears|seems|looks|is likely)\s+(?:to\s+be\s+)?(?:a\s+)?(?:legitimate|phishing(?:\s+attempt)?)\b")
+    return (s != "") & ~bad & F.size(F.split(s, " ")).between(4, 35)

@@ -477,11 +477,23 @@ def att01_records(spark, sf_dir):
     return r.select("doc_id", "r.hash_md5", "r.hash_sha1", "r.hash_sha256", "r.size_bytes", "r.magic_detected_format")
 
 
-@query()
+PDF_BODY = "'%PDF-1.4\n1 0 obj << /Type /Catalog /OpenAction 2 0 R ' || case doc_id % 4 when 0 then '/J#61vaScript (x)' when 1 then '/URI (http://a.b/c)' when 2 then '/L#61unch /JS' else '' end || ' >> endobj\n' || text || '\n%%EOF'"
+
+
+@query(f"""with b as (select doc_id, replace(replace({PDF_BODY}, 'J#61va', 'Java'), 'L#61unch', 'Launch') as b from documents) select doc_id, len(regexp_extract_all(b, '\\b\\d+\\s+\\d+\\s+obj\\b'))::int as objects, len(regexp_extract_all(b, '%%EOF'))::int as eof,
+    case doc_id % 4 when 0 then 'high' when 1 then 'low' when 2 then 'critical' else 'clean' end as risk, case doc_id % 4 when 0 then ['javascript', 'open_action'] when 1 then [] when 2 then ['launch_action', 'javascript', 'open_action'] else [] end::varchar[] as behaviours from b""")
 def pdf02_scan(spark, sf_dir):
-    b = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /OpenAction 2 0 R /J#61vaScript (x) >> endobj\n"), F.col("text"), F.lit("\n%%EOF")).cast("binary")
-    r = documents(spark, sf_dir).select("doc_id", attachments.pdf_scan(b).alias("s"))
-    return r.select("doc_id", F.map_entries("s.names").alias("names"), "s.objects", "s.streams", "s.eof", attachments.pdf_risk(F.col("s.names")).alias("risk"))
+    r = documents(spark, sf_dir).select("doc_id", attachments.pdf_scan(F.expr(PDF_BODY.replace("\n", "\\n")).cast("binary")).alias("s"))
+    return r.select("doc_id", "s.objects", "s.eof", attachments.pdf_risk(F.col("s.names"), F.col("s.encrypted")).alias("risk"), attachments.pdf_behaviours(F.col("s.names")).alias("behaviours"))
+
+
+EVIDENCE = [["https://sites.google.com/view/x", "https://a.b/?url=https%3A%2F%2Fc.d"], ["https://t.co/?click_id=1&u=http%3A%2F%2Fx.y"], [], ["https://forms.gle/1", "https://docs.google.com/forms/d", "https://docs.google.com/x"]]
+
+
+@query("select s_suppkey, [2, 1, 0, 3][i] as url_count, [1, 1, 0, 0][i] as nested_redirect_count, [0, 1, 0, 0][i] as tracked_redirect_count, [1, 0, 0, 2][i] as public_site_landing_count from (select s_suppkey, s_suppkey % 4 + 1 as i from supplier)")
+def pdf11_uri_evidence(spark, sf_dir):
+    found = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in EVIDENCE]), (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int"))
+    return attachments.uri_evidence(table(spark, sf_dir, "supplier").select("s_suppkey", found.alias("urls")), "s_suppkey").drop("samples")
 
 
 # ------------------------------------------------------------------ scores
@@ -1081,3 +1093,28 @@ def rcv11_shown_status(spark, sf_dir):
 @query(rf"select c_custkey, [lower(regexp_extract(a, '@([\p{{L}}\p{{N}}_.\-]+)', 1)), lower(regexp_extract(b, '@([\p{{L}}\p{{N}}_.\-]+)', 1))] as domains from ({PARTS})")
 def rcv12_sender_domains(spark, sf_dir):
     return senders(spark, sf_dir).select("c_custkey", headers.sender_domains(F.col("sender"), F.col("sender"), F.col("reply")).alias("domains"))
+
+
+CLAIMS = [("PayPal", "mail.paypal.com", "verify_account"), ("paypal", "paypa1.com", "verify_account"), ("Netflix", "evil.com", "informational"), ("Acme", "evil.com", "pay_or_transfer")]
+
+
+@query("select c_custkey, c_custkey % 4 = 1 as mismatch from customer")
+def pol09_brand_mismatch(spark, sf_dir):
+    row = F.element_at(F.array(*[F.struct(F.lit(a).alias("brand"), F.lit(b).alias("domain"), F.lit(c).alias("action")) for a, b, c in CLAIMS]), (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", policy.brand_mismatch(row["brand"], row["domain"], row["action"]).alias("mismatch"))
+
+
+SUMMARIES = ["The sender asks for a payment to a new account.", "Suspicious email with a link", "Too short", "The message is likely a phishing attempt by a stranger.", "It mentions SPF and asks to reply soon."]
+
+
+@query("select c_custkey, c_custkey % 5 = 0 as usable from customer")
+def pol20_summary_check(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", policy.usable_summary(F.element_at(F.array(*map(F.lit, SUMMARIES)), (F.pmod("c_custkey", F.lit(5)) + 1).cast("int"))).alias("usable"))
+
+
+LETTERS = ["Gentile Mario Rossi, la sua fattura", "Dear Mr. Smith call +39 02 1234567", "write to a@b.com or https://x.y/z", "IBAN DE89370400440532013000 and 10.0.0.1"]
+
+
+@query("select c_custkey, ['Gentile [PERSON], la sua fattura', 'Dear Mr. [PERSON][PHONE]', 'write to [EMAIL ADDRESS] or [URL LINK]', 'IBAN [IBAN] and [IP ADDRESS]'][c_custkey % 4 + 1] as masked from customer")
+def norm07_anonymize(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.anonymize(F.element_at(F.array(*map(F.lit, LETTERS)), (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))).alias("masked"))

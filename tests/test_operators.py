@@ -232,7 +232,7 @@ def test_attachments(spark):
 def test_pdf(spark):
     rows = [(b"%PDF-1.4\n1 0 obj <</J#61vaScript 2 0 R /OpenAction 3 0 R>> endobj %%EOF",), (b"%PDF-1.4\n/URI (http://a.b/?url=http%3A%2F%2Fc.d) %%EOF",), (b"%PDF-1.4",)]
     r = spark.createDataFrame(rows, "p binary").select(attachments.pdf_scan(F.col("p")).alias("s")).select("s.*", attachments.pdf_risk(F.col("s.names")).alias("risk")).collect()
-    assert [x["risk"] for x in r] == ["high", "low", "clean"] and r[0]["objects"] == 1 and r[1]["urls"] == ["http://a.b/?url=http%3A%2F%2Fc.d"]
+    assert [x["risk"] for x in r] == ["high", "high", "clean"] and r[0]["objects"] == 1 and r[1]["urls"] == ["http://a.b/?url=http%3A%2F%2Fc.d"]
     assert column(spark, [r[1]["urls"][0]], attachments.nested_redirects) == [["http://c.d"]]
 
 
