@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import fixed
 from corvid.functions.text import normalize, parse_label, template_hash, text_hash, words
+from corvid.plans.session import cut, spread
 
 
 def checked(rows: DataFrame, compose: bool = True) -> DataFrame:
@@ -14,7 +15,7 @@ def checked(rows: DataFrame, compose: bool = True) -> DataFrame:
     for name, value in (("text", F.lit("")), ("label", F.lit(None).cast("string")), ("source", F.lit("unknown")), ("source_file", F.lit(""))):
         if name not in rows.columns:
             rows = rows.withColumn(name, value)
-    rows = rows.select("ord", normalize(F.col("text"), compose).alias("text"), parse_label(F.col("label")).alias("label"), F.coalesce("source", F.lit("unknown")).cast("string").alias("source"), F.coalesce("source_file", F.lit("")).cast("string").alias("source_file"))
+    rows = spread(rows).select("ord", normalize(F.col("text"), compose).alias("text"), parse_label(F.col("label")).alias("label"), F.coalesce("source", F.lit("unknown")).cast("string").alias("source"), F.coalesce("source_file", F.lit("")).cast("string").alias("source_file"))
     invalid = F.col("text").isin(fixed.PLACEHOLDER_TEXTS)
     return rows.select(
         "*",
@@ -58,14 +59,23 @@ def without_conflicts(rows: DataFrame, key: str, label: str = "label") -> DataFr
 
 
 def clean(rows: DataFrame, compose: bool = True) -> DataFrame:
-    """Valid rows, without texts that have both labels, the first of each text."""
-    return first_wins(without_conflicts(valid(rows, compose), "text_hash"), "text_hash").select(*KEPT)
+    """Valid rows, without texts that have both labels, the first of each text.
+
+    Choices are made on a checkpointed table of ids, labels and hashes; texts are read again to
+    take the chosen ones, and never shuffled before.
+    """
+    v = valid(rows, compose)
+    slim = cut(v.select("ord", "label", "text_hash"))
+    return v.join(first_wins(without_conflicts(slim, "text_hash"), "text_hash").select("ord"), "ord", "left_semi").select(*KEPT)
 
 
 def dedupe_templates(rows: DataFrame, compose: bool = True) -> DataFrame:
     """clean, then the same by template fingerprint; the first of each label and fingerprint stays."""
-    c = clean(rows, compose).withColumn("template_hash", template_hash(F.col("text")))
-    return first_wins(without_conflicts(c, "template_hash"), "label", "template_hash").select(*KEPT, "template_hash")
+    v = valid(rows, compose)
+    slim = cut(v.select("ord", "label", "text_hash", template_hash(F.col("text")).alias("template_hash")))
+    once = cut(first_wins(without_conflicts(slim, "text_hash"), "text_hash"))
+    chosen = first_wins(without_conflicts(once, "template_hash"), "label", "template_hash").select("ord", "template_hash")
+    return v.join(chosen, "ord").select(*KEPT, "template_hash")
 
 
 def append_new(rows: DataFrame) -> DataFrame:
@@ -109,8 +119,6 @@ def rank_within(rows: DataFrame, groups: list[str], order: list[str]) -> DataFra
     Rows are range-partitioned and sorted by (groups, order); a task numbers its own rows, and the sizes of what
     stands before it (a row for each task and group) are added.
     """
-    from corvid.plans.session import cut
-
     spread = cut(rows.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("part", F.spark_partition_id()))
     own = Window.partitionBy("part", *groups).orderBy(*order)
     sizes = spread.groupBy("part", *groups).agg(F.count("*").alias("size"))

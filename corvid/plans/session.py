@@ -50,3 +50,9 @@ def small_enough(df: DataFrame, row_bytes: int, most_bytes: int = 32 << 20) -> b
 def hash_below(column, share: float):
     """A condition that holds for about `share` of a column's values, always the same ones."""
     return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files make fewer partitions than there are: a small table whose rows cost much to work on. A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() * 2 <= cores else df
