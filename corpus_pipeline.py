@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import langid, packing, quality, simhash
+from corvid.llm import langid, packing, quality, shingles
 from corvid.plans.session import shared_folder, table
 
 #: The packing's search and the classifiers cannot be written in SQL; tests/llm holds run() against a brute-force version.
@@ -22,8 +22,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least doc_id."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates (similarity of 5-word shingles 0.8 or more), the document with the least doc_id."""
+    return shingles.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
