@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from corvid.plans.session import hash_below, ship, small_enough
 
 ORDER = 4
-#: Places of the count table, by the hash of an n-gram: all counts of all labelled rows go in, in a fixed size.
-PLACES, CONTEXTS = 1 << 21, 1 << 20
 #: One in so many learning rows is set aside from the counts; of those, about so many fit the scale of the scores.
 ASIDE, FIT_ROWS = 6, 6000
 #: Words of a window.
@@ -53,25 +51,59 @@ def mixed(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def place(codes: np.ndarray, places: int) -> np.ndarray:
-    return (mixed(codes) >> np.uint64(64 - places.bit_length() + 1)).astype(np.int64)
+def named(codes: np.ndarray) -> np.ndarray:
+    """Each row of codes as one value that no other row has; codes need 21 bits."""
+    out = np.zeros(len(codes), [("a", np.uint64), ("b", np.uint64)])
+    for i in range(codes.shape[1]):
+        field, shift = ("a", 21 * i) if i < 3 else ("b", 21 * (i - 3))
+        out[field] |= codes[:, i].astype(np.uint64) << np.uint64(shift)
+    return out
+
+
+@dataclass
+class Ratios:
+    """The ratio of each row of codes that was seen, and no other's: the table has a row for each, however many there are."""
+
+    hashes: np.ndarray  # sorted
+    codes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, values: np.ndarray) -> Ratios:
+        """codes: without repeats."""
+        order = np.lexsort([*codes.T, mixed(codes)])
+        return cls(mixed(codes)[order], codes[order], values[order].astype(np.float32))
+
+    def find(self, codes: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(codes), missing, np.float32)
+        if len(self.hashes):
+            h = mixed(codes)
+            at, left = np.searchsorted(self.hashes, h), np.arange(len(codes))
+            while len(left):  # goes on only where other codes have the same 64 bits
+                left = left[at[left] < len(self.hashes)]
+                left = left[self.hashes[at[left]] == h[left]]
+                same = (self.codes[at[left]] == codes[left]).all(axis=1)
+                out[left[same]] = self.values[at[left[same]]]
+                left = left[~same]
+                at[left] += 1
+        return out
 
 
 @dataclass
 class Model:
     """Log-likelihood ratios (toxic to ordinary) of seen n-grams, and of unseen ones by their context; and the scores' scale."""
 
-    seen: np.ndarray  # of each place; NaN where no n-gram was seen
-    unseen: np.ndarray  # of each context
+    seen: Ratios  # of n-grams
+    unseen: Ratios  # of contexts
     weights: np.ndarray = None  # of features(), and a constant
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
         """For each word, the sum of its n-grams' ratios."""
         codes, own = grams(words)
-        r = self.seen[place(codes, PLACES)]
+        r = self.seen.find(codes, np.nan)
         none = np.isnan(r)
         if none.any():
-            r[none] = self.unseen[place(codes[none, :-1], CONTEXTS)]
+            r[none] = self.unseen.find(codes[none, :-1], 0.0)
         return np.bincount(own, r, len(words))
 
     def features(self, texts) -> np.ndarray:
@@ -103,7 +135,7 @@ def discount(counts: np.ndarray) -> float:
 
 def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows without repeats: (one row of each kind, each row's kind, rows of each kind)."""
-    _, first, kind, n = np.unique(mixed(codes), return_index=True, return_inverse=True, return_counts=True)
+    _, first, kind, n = np.unique(named(codes), return_index=True, return_inverse=True, return_counts=True)
     return codes[first], kind, n
 
 
@@ -131,7 +163,7 @@ def train(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     P(x | h) = (max(c(hx) - D, 0) + D N(h) S(x | h')) / c(h): c and N are counts and kinds in the class, S is
     shared by the classes. What neither class has seen has the ratio of what the two leave for such.
     """
-    seen, unseen = np.full(PLACES, np.nan), np.zeros(CONTEXTS)
+    seen = unseen = Ratios.of(codes[:0], np.zeros(0))
     if len(codes) and toxic.sum() and ordinary.sum():
         shared = shared_probabilities(codes[:, 1:][np.argsort(mixed(codes))])[np.argsort(np.argsort(mixed(codes)))]
         heads, context, _ = grouped(codes[:, :-1])
@@ -142,9 +174,9 @@ def train(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
             left = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
             held = np.where(total[context] > 0, np.maximum(c - d, 0) / np.maximum(total[context], 1), 0)
             logs.append((np.log(held + left[context] * shared), np.log(left)))
-        seen[place(codes, PLACES)] = logs[0][0] - logs[1][0]
-        unseen[place(heads, CONTEXTS)] = logs[0][1] - logs[1][1]
-    return Model(seen.astype(np.float32), unseen.astype(np.float32))
+        seen = Ratios.of(codes, logs[0][0] - logs[1][0])
+        unseen = Ratios.of(heads, logs[0][1] - logs[1][1])
+    return Model(seen, unseen)
 
 
 def scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -172,9 +204,9 @@ REMEMBERED = 400_000
 
 
 def count(rows: DataFrame) -> pa.Table:
-    """The n-grams of rows (text, y) with their counts in either class, one for each place: (place, gram, toxic, ordinary), by place.
+    """The n-grams of rows (text, y) with their counts in either class: (gram, toxic, ordinary), by gram.
 
-    Each task counts words, then the n-grams of different words, so that what is shuffled is a row for each place and task at most.
+    Each task counts words, then the n-grams of different words, so that what is shuffled is a row for each n-gram and task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +216,12 @@ def count(rows: DataFrame) -> pa.Table:
             words = sorted(tally[0].keys() | tally[1].keys())
             codes, own = grams(words)
             by = [np.fromiter((t[w] for w in words), np.float64, len(words)) for t in tally]
-            at, first, inverse = np.unique(place(codes, PLACES), return_index=True, return_inverse=True)
+            _, first, inverse = np.unique(named(codes), return_index=True, return_inverse=True)
             text = codes[first].astype("<u4").tobytes().decode("utf-32-le")
             kinds = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
             for t in tally:
                 t.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(kinds, pa.string()), *(pa.array(np.bincount(inverse, c[own], len(at)).astype(np.int64)) for c in reversed(by))], ["place", "gram", "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array(np.bincount(inverse, c[own], len(first)).astype(np.int64)) for c in reversed(by))], ["gram", "toxic", "ordinary"])
 
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -199,9 +231,9 @@ def count(rows: DataFrame) -> pa.Table:
         if tally[0] or tally[1]:
             yield from told()
 
-    parts = rows.select("text", "y").mapInArrow(run, "place bigint, gram string, toxic bigint, ordinary bigint")
-    # at most PLACES rows come to the driver, whatever the input
-    return parts.groupBy("place").agg(F.min("gram").alias("gram"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("place")
+    parts = rows.select("text", "y").mapInArrow(run, "gram string, toxic bigint, ordinary bigint")
+    # a row for each different n-gram comes to the driver: they grow with the input
+    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("gram")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
