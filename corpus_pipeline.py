@@ -27,8 +27,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: the rows of packing.pack."""
-    return packing.pack(docs).withColumnRenamed("key", "doc_id")
+    """Where each piece of each document goes: the rows of packing.pack_near."""
+    return packing.pack_near(docs).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [("quality classifier", quality_stage), ("language ID", language_stage), ("SimHash near-dedup", simhash_stage), ("best-fit packing", packing_stage)]

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.plans.session import ship
+from corvid.llm import simhash
+from corvid.plans.session import cut, ship
 
 CAPACITY = 8192
 #: Documents of a shard. Shards are packed apart: this bounds a task's memory and, at worst, its quadratic search.
@@ -90,10 +91,26 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     dealt by a hash of all of them, so a hot source or cluster spreads over all shards.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
     t = F.col(text)
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), (F.xxhash64(F.coalesce(t, F.lit(""))) if cluster is None else cluster.cast("long")).alias("cluster"), F.coalesce(F.length(t), F.lit(0)).cast("long").alias("size"))
-    shards = max(1, -(-docs.select(key).count() // shard_rows))
+    return dealt(rows, docs.select(key).count(), capacity, shard_rows)
+
+
+def pack_near(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """As pack(), with clusters of near copies: a cluster is a component of simhash.near_duplicates, so neither exact nor near copies share a bin."""
+    kind = docs.schema[key].dataType.simpleString()
+    t = F.col(text)
+    # each row takes its own source and size along, so that repeated keys need no join back
+    each = docs.select(F.struct(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.coalesce(F.length(t), F.lit(0)).cast("long").alias("size")).alias("row"), t.alias("text"))
+    found = cut(simhash.near_duplicates(each, "row", "text"))
+    rows = found.select(F.col("key.key").cast(kind).alias("key"), "key.source", F.xxhash64("component").alias("cluster"), "key.size")
+    return dealt(rows, rows.count(), capacity, shard_rows)
+
+
+def dealt(rows: DataFrame, n: int, capacity: int, shard_rows: int) -> DataFrame:
+    """Packs n rows (key, source, cluster, size) in shards."""
+    kind = rows.schema["key"].dataType.simpleString()
+    shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("key", "source", "cluster", "size"), F.lit(shards)).cast("int")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

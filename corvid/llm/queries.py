@@ -27,7 +27,7 @@ def op4_warc(spark, sf_dir):
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    return packing.pack_near(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
 def op6_simhash(spark, sf_dir):
