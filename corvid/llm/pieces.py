@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +20,10 @@ from corvid.plans.session import ship
 SPACE = "▁"
 #: A run of spaces and what follows up to the next space: no piece goes beyond one (Vocabulary checks it).
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Units longer than this have an agenda of their own; shorter ones share one.
-ALONE = 256
-#: Units that a worker remembers before it starts anew: a bound of memory only.
-REMEMBERED = 300_000
+#: Units longer than this have a heap of their own; shorter ones share an agenda, whose rows are searched as a whole.
+ALONE = 24
+#: Bounds of memory only: the places of a shared agenda, the units that are cut and segmented together, the characters of the units that a worker remembers, and the texts of a result.
+CELLS, TOGETHER, REMEMBERED, ROWS = 1 << 17, 1 << 15, 1 << 21, 512
 NEVER = np.iinfo(np.int32).max
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
@@ -45,8 +47,14 @@ class Vocabulary:
         if any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in normal):
             raise ValueError("a piece goes on beyond a space")
         self.ids = {self.pieces[i]: i for i in normal}
-        # Symbols: a piece has its id; characters that are no piece come after all pieces, each with a number of its own.
-        self.chars: dict[str, int] = {}
+        # Symbols: a piece has its id; a character that is no piece has its code point, counted on from the number of pieces.
+        self.symbols = np.arange(n, n + 0x110000)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+        usual = set(normal)
+        self.decimal = [str(i) for i in range(n)]
+        self.plain = [p.replace(SPACE, " ") if i in usual else None for i, p in enumerate(self.pieces)]
         scores = {i: sp.get_score(i) for i in normal}
         ranks = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         merges = {}
@@ -66,7 +74,7 @@ class Vocabulary:
     def symbol(self, s: str) -> int | None:
         if (i := self.ids.get(s)) is not None:
             return i
-        return self.chars.setdefault(s, len(self.pieces) + ord(s)) if len(s) == 1 else None
+        return len(self.pieces) + ord(s) if len(s) == 1 else None
 
     def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair of symbols the rank of the piece that they make (NEVER: none) and that piece."""
@@ -116,16 +124,12 @@ class Vocabulary:
         Row r's agenda holds the rank of the pair that starts at each place; a round takes each row's best
         and leftmost pair, joins it, and scores the two pairs that the new symbol makes.
         """
-        rows, width = len(units), max(map(len, units))
-        cp = np.zeros((rows, width), np.int64)
-        for r, u in enumerate(units):
-            cp[r, : len(u)] = np.frombuffer(u.encode("utf-32-le"), "<u4")
-        distinct, which = np.unique(cp, return_inverse=True)
-        symbols = np.array([self.symbol(chr(c)) if c else -1 for c in distinct.tolist()], np.int64)[which.reshape(cp.shape)]
-        symbols[np.arange(width)[None, :] >= np.array([len(u) for u in units])[:, None]] = -1
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        rows, width = len(units), int(sizes.max())
+        symbols = np.full((rows, width + 1), -1)  # the place after the last one stays empty
+        symbols[np.arange(width + 1) < sizes[:, None]] = self.symbols[np.frombuffer("".join(units).encode("utf-32-le", "replace"), "<u4")]
         after = np.tile(np.arange(1, width + 1), (rows, 1))
         before = np.tile(np.arange(-1, width - 1), (rows, 1))
-        symbols = np.hstack([symbols, np.full((rows, 1), -1)])  # the place after the last one
         rank, made = self.look(symbols[:, :-1], symbols[:, 1:])
         live = np.arange(rows)
         while len(live):
@@ -145,34 +149,46 @@ class Vocabulary:
             p = before[live, i]
             left = p >= 0
             rank[live[left], p[left]], made[live[left], p[left]] = self.look(symbols[live[left], p[left]], symbols[live[left], i[left]])
-        return [self.out(row[row >= 0].tolist()) for row in symbols]
+        left = symbols >= 0
+        ends = np.cumsum(left.sum(axis=1)).tolist()
+        flat = symbols[left].tolist()
+        spelt = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return [self.out(x) for x in spelt] if symbols.max(initial=0) >= len(self.pieces) else spelt
 
     def segment(self, units: list[str]) -> list[list[int]]:
         """The ids of each unit."""
         out: list = [None] * len(units)
         sized: dict[int, list[int]] = {}
         for k, u in enumerate(units):
-            if len(u) > ALONE or "\0" in u:
+            if len(u) > ALONE:
                 out[k] = self.alone(u)
             else:
                 sized.setdefault((len(u) - 1).bit_length(), []).append(k)
         for places in sized.values():
-            for at in range(0, len(places), 1 << 14):
-                some = places[at : at + (1 << 14)]
+            step = max(1, CELLS // max(len(units[k]) for k in places))
+            for at in range(0, len(places), step):
+                some = places[at : at + step]
                 for k, ids in zip(some, self.together([units[k] for k in some]), strict=True):
                     out[k] = ids
         return out
 
-    def units(self, text: str) -> list[str]:
+    def units(self, text: str | None) -> Iterator[str]:
         """A text's units: spaces are written as SPACE, and one is set before a text that isn't empty."""
-        return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return iter(())
+        text = SPACE + text.replace(" ", SPACE)
+        return iter(UNIT.findall(text)) if len(text) <= CELLS else (m[0] for m in UNIT.finditer(text))
 
     def encode(self, text: str | None) -> list[int]:
         """A text's ids, with the end id."""
-        return [i for ids in self.segment(self.units(text or "")) for i in ids] + [self.end]
+        return [i for ids in self.segment(list(self.units(text))) for i in ids] + [self.end]
 
     def spell(self, ids) -> str:
         """The pieces of ids, with spaces for SPACE and bytes read as UTF-8; a byte that fits none becomes U+FFFD."""
+        try:
+            return "".join([self.plain[i] for i in ids])
+        except TypeError:  # bytes, or what isn't spelled as it is written
+            pass
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -196,12 +212,12 @@ class Vocabulary:
         return text[1:] if first not in self.bytes and first != self.unknown and self.pieces[first].startswith(SPACE) else text
 
 
+codecs.register_error("each byte", lambda bad: ("�", bad.start + 1))
+
+
 def lenient(run: bytes) -> str:
     """Bytes as UTF-8, with a U+FFFD for every byte that belongs to no character."""
-    try:
-        return run.decode()
-    except UnicodeDecodeError as bad:
-        return run[: bad.start].decode() + "�" + lenient(run[bad.start + 1 :])
+    return run.decode("utf-8", "each byte")
 
 
 @cache
@@ -209,58 +225,141 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Memory:
+    """What a worker knows of units: their ids in decimal; what the ids spell, if it isn't the unit itself; and the units that the library encodes or decodes otherwise."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.size = v, 0
+        self.ids: dict[str, str] = {}
+        self.spelled: dict[str, str] = {}
+        self.wrong: set[str] = set()
+
+    def learn(self, units: list[str]) -> None:
+        """Learns those of units that are new. When the memory is full, it starts anew."""
+        if not (fresh := {u for u in units if u not in self.ids}):
+            return
+        if self.size + sum(map(len, fresh)) > REMEMBERED:
+            for x in (self.ids, self.spelled, self.wrong):
+                x.clear()
+            self.size, fresh = 0, set(units)
+        self.size += sum(map(len, fresh))
+        units = sorted(fresh)
+        v = self.v
+        found = v.segment(units)
+        said = [u[1:].replace(SPACE, " ") for u in units]
+        # the library sets the first space itself, but before an empty text
+        theirs = v.library.encode(said, num_threads=1)
+        decoded = v.library.decode(found, num_threads=1)
+        for u, ids, same, text, plain in zip(units, found, theirs, decoded, said, strict=True):
+            self.ids[u] = " ".join([v.decimal[i] for i in ids])
+            spelled = v.spell(ids)
+            if spelled[1:] != plain or not spelled.startswith(" "):
+                self.spelled[u] = spelled
+            if ids != (same or [v.library.piece_to_id(SPACE)]) or spelled[1:] != text:
+                self.wrong.add(u)
+
+    def tell(self, units: list[str]) -> tuple[str, str, bool]:
+        """Of units that were learned: their ids, what they spell, and whether the library agrees."""
+        ids = " ".join([self.ids[u] for u in units])
+        text = "".join([self.spelled.get(u, u) for u in units] if self.spelled else units).replace(SPACE, " ")
+        return ids, text, self.wrong.isdisjoint(units)
+
+
 @cache
-def memory(path: str) -> dict[str, tuple[str, str, bool]]:
-    return {}
+def memory(path: str) -> Memory:
+    return Memory(vocabulary(path))
+
+
+class Digest:
+    """A text's ids and decoded text, taken in part by part: their number and hashes."""
+
+    def __init__(self):
+        self.n, self.ids, self.text, self.agrees = 0, hashlib.sha256(), hashlib.sha256(), True
+
+    def add(self, ids: str, text: str) -> None:
+        self.ids.update((" " * (self.n > 0) + ids).encode())
+        self.text.update(text.encode())
+        self.n += ids.count(" ") + 1
+
+    def result(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.text.hexdigest(), self.agrees
+
+
+class Whole:
+    """A text's ids and decoded text themselves."""
+
+    def __init__(self):
+        self.ids, self.text, self.agrees = [], [], True
 
+    def add(self, ids: str, text: str) -> None:
+        self.ids += map(int, ids.split())
+        self.text.append(text)
 
-def learn(v: Vocabulary, known: dict, units: list[str]) -> None:
-    """Adds units to known: their ids in decimal, what the ids spell, and whether the library gives the same ids."""
-    found = v.segment(units)
-    # the library sets the first space itself, but before an empty text
-    theirs = [ids or [v.library.piece_to_id(SPACE)] for ids in v.library.encode([u[1:].replace(SPACE, " ") for u in units], num_threads=1)]
-    for u, ids, same in zip(units, found, theirs, strict=True):
-        known[u] = (" ".join(map(str, ids)), v.spell(ids), ids == same)
+    def result(self) -> tuple:
+        return self.ids, "".join(self.text), self.agrees
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids, text, agrees): each whole text's ids with the end id, and the text that they decode to.
 
     A text is a row of units that no merge crosses; units new to a worker are segmented together, and
-    compared with the library's encoding of the same units (agrees: all of a text's units are the same). Null texts are
-    empty ones: the end id alone. Repeated rows give repeated rows; other columns are not read.
+    compared with the library's encoding and decoding of the same units (agrees: all of a text's units are the same). Null
+    texts are empty ones: the end id alone. Texts are taken in parts, so a worker's memory does not grow with their length
+    (but for what is returned). Repeated rows give repeated rows; other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    return run_on(docs, model, key, text, f"key {kind}, ids array<int>, text string, agrees boolean", lambda told, spelled: ([*map(int, told.split())], spelled))
+    return run_on(docs, model, key, text, Whole, pa.schema([("ids", pa.list_(pa.int32())), ("text", pa.string()), ("agrees", pa.bool_())]), "ids array<int>, text string, agrees boolean")
 
 
 def digest(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens, ids_sha256, decoded_sha256, agrees): encode's rows by their digests."""
-    kind = docs.schema[key].dataType.simpleString()
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    return run_on(docs, model, key, text, f"key {kind}, {RESULT}", lambda told, spelled: (told.count(" ") + 1, sha(told), sha(spelled)))
+    return run_on(docs, model, key, text, Digest, pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agrees", pa.bool_())]), RESULT)
 
 
-def run_on(docs: DataFrame, model: str, key: str, text: str, schema: str, result) -> DataFrame:
+def run_on(docs: DataFrame, model: str, key: str, text: str, kind: type, schema: pa.Schema, ddl: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(model), memory(model)
-        end = str(v.end)
         for b in batches:
-            if len(known) > REMEMBERED:
-                known.clear()
-            cut = [v.units(t or "") for t in b.column(1).to_pylist()]
-            if fresh := sorted({u for units in cut for u in units if u not in known}):
-                learn(v, known, fresh)
-            rows = []
-            for units in cut:
-                told = [known[u] for u in units]
-                # the first unit starts with the space that was set before the text
-                spelled = "".join([x[1] for x in told])[1:]
-                rows.append((*result(" ".join([*[x[0] for x in told], end]), spelled), all([x[2] for x in told])))
-            columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(c.cast(pa.list_(pa.int32())) if pa.types.is_list(c.type) else c for c in columns)], [x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                states = results(v, known, (x.as_py() for x in part.column(1)), kind)
+                columns = [pa.array(c, t) for c, t in zip(zip(*(s.result() for s in states), strict=True), schema.types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", *schema.names])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {ddl}")
+
+
+def results(v: Vocabulary, known: Memory, texts: Iterator[str | None], kind: type) -> list:
+    """A kind for each text, with all its units and the end id taken in; about TOGETHER units are looked up at once."""
+    states: list = []
+    queue: list[tuple[int, int]] = []  # (text, its units) of what waits
+    units: list[str] = []
+
+    def flush():
+        known.learn(units)
+        at = 0
+        for i, n in queue:
+            s = states[i]
+            ids, text, agrees = known.tell(units[at : at + n])
+            at += n
+            # the first unit starts with the space that was set before the text
+            s.add(ids, text if s in begun else text[1:])
+            s.agrees &= agrees
+            begun.add(s)
+        queue.clear()
+        units.clear()
+
+    begun: set = set()
+    for i, text in enumerate(texts):
+        states.append(kind())
+        cut = v.units(text)
+        while some := list(islice(cut, TOGETHER - len(units))):
+            queue.append((i, len(some)))
+            units += some
+            if len(units) >= TOGETHER:
+                flush()
+    flush()
+    for s in states:
+        s.add(str(v.end), "")
+    return states
