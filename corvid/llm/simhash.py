@@ -18,6 +18,8 @@ SEED = 42
 #: Bits of each segment: 21 popcounts from 0 to 4, kept in one long with three bits each.
 SEGMENTS = (3,) * 20 + (4,)
 DIGIT = 3
+#: Fingerprints of a cell beyond which it makes no pairs: its fingerprints are linked through shared words instead.
+FULL = 16
 SLICE = 1 << 16
 
 
@@ -36,7 +38,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         spans = iter([(0, len(line))])
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, n)
+    return majority(np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes, as a number."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, SLICE):
         bits = np.unpackbits(hashes[at : at + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -67,28 +74,45 @@ def popcounts(fp):
     return cell
 
 
+def manhattan(a: str, b: str):
+    """The distance of two cells: a lower bound on the differing bits of their fingerprints."""
+    mask = (1 << DIGIT) - 1
+    digit = lambda c, i: F.shiftrightunsigned(c, DIGIT * i).bitwiseAND(F.lit(mask))
+    return sum((F.abs(digit(a, i) - digit(b, i)) for i in range(1, len(SEGMENTS))), F.abs(digit(a, 0) - digit(b, 0)))
+
+
+def meetings(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grid range-join of fingerprints at Manhattan distance 2: (rows (cell, fp, home) of cells that few fingerprints share, rows (fp) of those in full ones).
+
+    Two cells at distance 2 or less share a cell at distance 1 or less from both, so each fingerprint is
+    entered in the 43 cells about its own.
+    """
+    steps = [F.lit(1 << DIGIT * i).cast("long") for i in range(len(SEGMENTS))]
+    about = F.array("home", *[F.col("home") + s for s in steps], *[F.col("home") - s for s in steps])
+    cells = distinct.select("fp", popcounts(F.col("fp")).alias("home")).select("fp", "home", F.explode(about).alias("cell"))
+    shared = cut(cells.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1"))
+    return shared.where(F.col("n") <= FULL).select("cell", "fp", "home"), shared.where(F.col("n") > FULL).select("fp").distinct()
+
+
 def close_pairs(distinct: DataFrame, bits: int = 2) -> DataFrame:
     """Pairs (a, b) of different fingerprints that connect all those at `bits` (2) or fewer differing bits.
 
     The popcount vectors of two fingerprints differ by at most their Hamming distance in Manhattan
-    distance. Grid range-join: two cells at distance 2 or less share a cell at distance 1 or less from
-    both, so each fingerprint is entered in the 43 cells about its own, and one that meets no other
-    there is done with. The rest are verified exactly: fingerprints at 2 bits or less share a word at
-    1 bit or less from both, and all that share one are at 2 or less from each other; a shared
-    word has at most 65 of them, so chaining its neighbours in order links them all with no pair
-    set, however dense a group is. Work is at most 43 + 65 rows for each different fingerprint.
+    distance, so those that link meet in a cell of the grid (meetings). Those that meet are pairs if
+    their cells' Manhattan distance is 2 or less, and are then verified by their bits. A cell of more than
+    FULL fingerprints makes no pairs: fingerprints at 2 bits or less share a word at 1 bit or less from
+    both, and all that share one are at 2 or less from each other; a word is shared by at most 65, so
+    chaining its neighbours in order links them all, however dense a group is.
     """
     if bits != 2:
-        raise ValueError("the shared-neighbour check is for 2 bits")
-    home = popcounts(F.col("fp"))
-    steps = [F.lit(1 << DIGIT * i).cast("long") for i in range(len(SEGMENTS))]
-    cells = distinct.select("fp", home.alias("home")).select("fp", F.explode(F.array("home", *[F.col("home") + s for s in steps], *[F.col("home") - s for s in steps])).alias("cell"))
-    by_cell = Window.partitionBy("cell").orderBy("fp")
-    met = cells.select("fp", F.lag("fp").over(by_cell).alias("p"), F.lead("fp").over(by_cell).alias("q")).where("p is not null or q is not null").select("fp").distinct()
+        raise ValueError("the grid and the full cells' check are for 2 bits")
+    few, full = meetings(distinct)
+    side = lambda n: few.select("cell", F.col("fp").alias(n), F.col("home").alias(f"home_{n}"))
+    near = side("a").join(side("b"), "cell").where(F.col("a") < F.col("b")).where(manhattan("home_a", "home_b") <= bits).select("a", "b")
     flips = [F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)]
-    near = met.select("fp", F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(x) for x in flips])).alias("mid"))
-    chained = near.select(F.lag("fp").over(Window.partitionBy("mid").orderBy("fp")).alias("a"), F.col("fp").alias("b"))
-    return chained.where(F.col("a").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).distinct()
+    words = full.select("fp", F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(x) for x in flips])).alias("mid"))
+    chained = words.select(F.lag("fp").over(Window.partitionBy("mid").orderBy("fp")).alias("a"), F.col("fp").alias("b")).where("a is not null")
+    return near.union(chained).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
