@@ -77,3 +77,44 @@ ANONYMOUS = [
     (r"(?iU)\b(Ciao|Gentile|Buongiorno|Buonasera|Salve)\s+\p{L}[\p{L}\p{N}_' -]{2,}", "$1 [PERSON]"),
     (r"(?iU)\b(Sig\.?|Sig\.ra|Dott\.?|Dott\.ssa|Mr\.?|Mrs\.?|Ms\.?)\s+\p{L}[\p{L}\p{N}_' -]{2,}", "$1 [PERSON]"),
 ]
+
+# --- context and reports (fixed values) ---
+PASSIVE_ROLES = ["signature", "unsubscribe", "navigation"]
+SCAM_RANKS = {"none": 0, "other": 1, "extortion": 2, "sextortion": 3}
+THREAT_RANKS = {"none": 0, "other": 1, "data_exposure": 2, "reputation_harm": 2, "private_material_exposure": 3}
+MAX_PDF_BYTES, MAX_REDIRECTS = 25 << 20, 5
+REASON_WORDS = {
+    "sender authentication passed": "the sender is authenticated",
+    "sender authentication is incomplete or unavailable": "sender authentication is incomplete",
+    "DKIM signature is absent": "the message has no DKIM signature",
+    "Return-Path differs from the visible sender domain": "the Return-Path differs from the visible sender",
+    "Reply-To differs unexpectedly from the sender identity": "the Reply-To differs from the sender",
+    "display-name spoofing was detected": "possible display-name spoofing was detected",
+    "a URL is detected as malicious": "a URL was detected as malicious",
+    "a URL has suspicious reputation": "a URL has a suspicious reputation",
+    "an attachment is detected as malicious": "an attachment was detected as malicious",
+    "an attachment has suspicious reputation": "an attachment has a suspicious reputation",
+    "an attached PDF contains high-risk active features": "a PDF contains high-risk active features",
+    "an attachment has a structural or content anomaly": "an attachment contains anomalies",
+    "a sender domain resolves to an IP with malicious reputation": "the sender domain resolves to an IP with malicious reputation",
+    "a sender domain resolves to an IP with suspicious reputation": "the sender domain resolves to an IP with suspicious reputation",
+    "the message contains a direct-IP URL": "the message contains a direct-IP link",
+    "a lookalike or deceptive domain was detected": "a deceptive or lookalike domain was detected",
+    "a sensitive account-verification link uses a domain unrelated to the sender": "the account-verification link uses a domain unrelated to the sender",
+    "no strong technical threat was detected": "no confirmed technical threat was detected",
+}
+ACTION_WORDS = {
+    "claim_reward": "contain a reward or promotional benefit and ask the recipient to claim it, a pattern commonly used in phishing",
+    "pay_or_transfer": "contain a payment or money-transfer request, which can be used for financial phishing",
+    "provide_credentials": "ask the recipient to provide credentials, a strong phishing pattern",
+    "provide_information": "ask the recipient to submit personal information",
+    "change_account_settings": "request account changes, an action that can expose the recipient to account takeover",
+    "verify_account": "claim an account-security issue and ask the recipient to respond through a supplied channel, a common phishing pattern",
+    "open_attachment": "ask the recipient to open an attachment, which may deliver malicious content",
+    "visit_link": "ask the recipient to follow a supplied link",
+    "reply": "ask the recipient to reply, without presenting another clearly identified risky action",
+    "bypass_procedure": "ask the recipient to bypass normal procedures, a strong social-engineering indicator",
+    "informational": "provide information without a clearly identified risky request",
+    "none": "do not contain a clearly identified request",
+    "other": "contain a request whose security implications could not be classified precisely",
+}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,3 +145,124 @@ def nested_redirects(url: Column) -> Column:
     decoded = urls.percent_decoded(u)
     more = F.when(decoded != u, F.filter(F.regexp_extract_all(decoded, pattern, F.lit(0)), lambda x: ~x.startswith(F.substring_index(u, "?", 1)))).otherwise(F.array().cast("array<string>"))
     return F.slice(F.array_distinct(F.concat(F.flatten(F.transform(pairs, inside)), more)), 1, 10)
+
+
+def coerced(payload: Column, kind: Column) -> Column:
+    """(payload, warning) of an attachment's raw payload: kind tells whether it is `bytes`, an undecoded `text`, or nothing that can be read."""
+    told = lambda p, w: F.struct(p.alias("payload"), F.lit(w).cast("string").alias("warning"))
+    none = F.lit(None).cast("binary")
+    return (
+        F.when(payload.isNull() | kind.isNull(), told(none, "Attachment payload empty or not decodable"))
+        .when(kind == "bytes", told(payload, None))
+        .when(kind == "text", told(payload, "Attachment payload was not decoded by email parser"))
+        .otherwise(F.struct(none.alias("payload"), F.concat(F.lit("Unsupported attachment payload type: "), kind).alias("warning")))
+    )
+
+
+PDF_URL = r"(?i)https?://[^\s<>()\[\]{}\"']+"
+
+
+def evidence_of(found: Column, count: Column) -> Column:
+    """The evidence of URLs found = array of (object, url): counts over different URLs with what is nested in them, samples of hosts, and signatures."""
+    told = F.transform(found, lambda x: F.struct(x["object"].alias("object"), x["url"].alias("url"), nested_redirects(x["url"]).alias("nested")))
+    told = F.transform(told, lambda x: F.struct(x["object"].alias("object"), x["url"].alias("url"), x["nested"].alias("nested"), F.array_join(F.concat(F.array(x["url"]), x["nested"]), "|").alias("signature")))
+    signatures = F.transform(told, lambda x: x["signature"])
+    once = F.filter(told, lambda x, i: F.array_position(signatures, x["signature"]) == i + 1)
+    redirects = lambda x: F.size(x["nested"]) > 0
+    lands = lambda x: F.exists(F.when(redirects(x), x["nested"]).otherwise(F.array(x["url"])), public_landing)
+    hosts = lambda x: F.array_distinct(F.filter(F.transform(F.concat(F.array(x["url"]), x["nested"]), lambda u: F.regexp_replace(urls.host(u), r"^\.+|\.+$", "")), lambda h: h != ""))
+    label = lambda x: F.when(x["object"].isNotNull(), F.concat(F.lit("object "), x["object"])).otherwise("PDF URI")
+    samples = F.array_distinct(F.transform(F.filter(once, lambda x: redirects(x) | lands(x)), lambda x: F.concat(label(x), F.lit(": "), F.array_join(hosts(x), " -> "))))
+    n = lambda test: F.size(F.filter(once, test))
+    return F.struct(
+        count.alias("url_count"), F.size(found).alias("uri_action_url_count"), n(redirects).alias("nested_redirect_count"), n(lambda x: redirects(x) & tracked(x["url"])).alias("tracked_redirect_count"), n(lands).alias("public_site_landing_count"),
+        F.slice(samples, 1, 5).alias("samples"), F.slice(F.array_sort(F.array_distinct(signatures)), 1, 50).alias("signatures"),
+    )
+
+
+def object_evidence(body: Column) -> Column:
+    """The evidence of a PDF's text (Latin-1): the URLs of those objects that hold /URI, with their numbers; without such, all URLs."""
+    every = F.regexp_extract_all(body, F.lit(PDF_URL), F.lit(0))
+    objects = F.filter(F.regexp_extract_all(body, F.lit(r"(?is)\d+\s+\d+\s+obj.*?(?:endobj|$)"), F.lit(0)), lambda o: F.contains(o, F.lit("/URI")))
+    name = lambda o: F.regexp_replace(F.regexp_extract(o, r"(?i)^(\d+\s+\d+)\s+obj", 1), r"\s+", " ")
+    acts = F.flatten(F.transform(objects, lambda o: F.transform(F.regexp_extract_all(o, F.lit(PDF_URL), F.lit(0)), lambda u: F.struct(name(o).alias("object"), u.alias("url")))))
+    plain = F.transform(every, lambda u: F.struct(F.lit(None).cast("string").alias("object"), u.alias("url")))
+    return evidence_of(F.when(F.size(acts) > 0, acts).otherwise(plain), F.size(every))
+
+
+def merged_evidence(items: Column) -> Column:
+    """Several pieces of evidence as one, in order: URLs add up; redirects and landings only of pieces that have a signature that none before has (or none at all)."""
+    zero = F.struct(
+        *[F.lit(0).alias(k) for k in ("url_count", "uri_action_url_count", "nested_redirect_count", "tracked_redirect_count", "public_site_landing_count")],
+        *[F.array().cast("array<string>").alias(k) for k in ("samples", "signatures")],
+    )
+
+    def add(acc, x):
+        fresh = (F.size(x["signatures"]) == 0) | (F.size(F.array_except(x["signatures"], acc["signatures"])) > 0)
+        more = lambda k: (acc[k] + F.when(fresh, x[k]).otherwise(0)).alias(k)
+        both = lambda k: F.array_distinct(F.concat(acc[k], x[k])).alias(k)
+        return F.struct((acc["url_count"] + x["url_count"]).alias("url_count"), (acc["uri_action_url_count"] + x["uri_action_url_count"]).alias("uri_action_url_count"), more("nested_redirect_count"), more("tracked_redirect_count"), more("public_site_landing_count"), both("samples"), both("signatures"))
+
+    return F.aggregate(F.filter(items, lambda x: x.isNotNull()), zero, add, lambda a: F.struct(*[a[k].alias(k) for k in ("url_count", "uri_action_url_count", "nested_redirect_count", "tracked_redirect_count", "public_site_landing_count")], F.slice(a["samples"], 1, 5).alias("samples"), F.slice(F.array_sort(a["signatures"]), 1, 50).alias("signatures")))
+
+
+def pdf_structure(payload: Column, most_bytes: int = fixed.MAX_PDF_BYTES) -> Column:
+    """(text, objects, walked, error) of what a PDF's compressed streams hold, which a scan of its bytes does not see.
+
+    Streams with /FlateDecode as their only filter are inflated, up to most_bytes in all and 5,000 streams; what they spell
+    (object streams above all) is returned as Latin-1. A stream that cannot be inflated is told in error, and the others still count.
+    """
+    head = re.compile(rb"(\d+)\s+\d+\s+obj\b(.{0,4096}?)\bstream\r?\n", re.S)
+
+    @F.pandas_udf("text string, objects int, walked int, error string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        def walk(raw):
+            if not raw or not raw.startswith(b"%PDF"):
+                return None, 0, 0, None
+            out, left, n, bad = [], most_bytes, 0, None
+            for m in head.finditer(raw):
+                if n >= 5000 or left <= 0:
+                    break
+                words = m[2]
+                if b"/FlateDecode" not in words and b"/Fl " not in words or b"/Image" in words or re.search(rb"/Filter\s*\[\s*/(?!FlateDecode\s*\])", words):
+                    continue
+                n += 1
+                try:
+                    data = zlib.decompressobj().decompress(raw[m.end() : m.end() + left], left)
+                except zlib.error as e:
+                    bad = bad or f"object {m[1].decode()}: {e}"
+                    continue
+                left -= len(data)
+                out.append(data.decode("latin-1"))
+            return "\n".join(out), len(re.findall(rb"\b\d+\s+\d+\s+obj\b", raw)), n, bad
+
+        return pd.DataFrame([walk(None if v is None else bytes(v)) for v in values], columns=["text", "objects", "walked", "error"])
+
+    return run(payload)
+
+
+def pdf_security(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """rows with a column pdf: (is_pdf, risk_level, suspicious, indicators, behaviors, evidence, encrypted, objects, streams, parser, error, summary) of each payload.
+
+    A payload that isn't a PDF is not_pdf; one of more than 25 MiB is not scanned. What its bytes show and what its compressed
+    streams hold are counted together, and the two pieces of URL evidence merged.
+    """
+    p = F.col(payload)
+    is_pdf = F.coalesce(F.startswith(p, F.unhex(F.lit(b"%PDF".hex()))), F.lit(False))
+    fits = F.octet_length(p) <= fixed.MAX_PDF_BYTES
+    scan = F.when(is_pdf & fits, p)
+    inner = rows.withColumn("corvid_raw", scan).withColumn("corvid_in", pdf_structure(F.col("corvid_raw")))
+    inner = inner.withColumn("corvid_a", pdf_scan(F.coalesce("corvid_raw", F.lit(b"")))).withColumn("corvid_b", pdf_scan(F.encode(F.coalesce("corvid_in.text", F.lit("")), "ISO-8859-1")))
+    names = F.map_zip_with(F.col("corvid_a.names"), F.col("corvid_b.names"), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    inner = inner.withColumn("corvid_n", names)
+    seen = merged_evidence(F.array(object_evidence(F.decode(F.coalesce("corvid_raw", F.lit(b"")), "ISO-8859-1")), object_evidence(F.coalesce("corvid_in.text", F.lit("")))))
+    n, encrypted = F.col("corvid_n"), F.col("corvid_a.encrypted")
+    found = pdf_indicators(n)
+    words = F.array_join(F.transform(F.slice(found, 1, 8), lambda x: F.concat(x["key"], F.lit(" x"), x["count"].cast("string"))), "; ")
+    summary = F.when(~is_pdf, "Not a PDF document").when(~fits, F.concat(F.lit("PDF too large for deep static scan ("), F.octet_length(p).cast("string"), F.lit(" bytes)"))).otherwise(F.coalesce(F.nullif(words, F.lit("")), F.lit("No active PDF features detected")))
+    risk = F.when(~is_pdf, "not_pdf").when(~fits, "medium").otherwise(pdf_risk(n, encrypted))
+    done = F.when(is_pdf & fits, pdf_behaviours(n)).otherwise(F.array().cast("array<string>"))
+    parser = F.when(~is_pdf, "not_pdf").when(~fits, "skipped-size-limit").otherwise("streams")
+    error = F.when(is_pdf & ~fits, "PDF exceeds static analysis size limit").otherwise(F.col("corvid_in.error"))
+    out = F.struct(is_pdf.alias("is_pdf"), risk.alias("risk_level"), (F.size(done) > 0).alias("suspicious"), found.alias("indicators"), done.alias("behaviors"), seen.alias("evidence"), (is_pdf & fits & encrypted).alias("encrypted"), F.col("corvid_a.objects").alias("objects"), F.col("corvid_a.streams").alias("streams"), parser.alias("parser"), error.alias("error"), summary.alias("summary"))
+    return inner.withColumn("pdf", out).drop("corvid_raw", "corvid_in", "corvid_a", "corvid_b", "corvid_n")

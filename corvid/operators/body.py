@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +73,63 @@ def separator_at(ls: Column) -> Column:
 
 
 def strip_noise(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, text, removed_lines, removed_chars): runs of 8 or more encoded lines with 4096 characters or more in all are taken out.
+    """Rows (key, text, removed_lines, removed_chars), one for each row of rows: runs of 8 or more encoded lines with 4096 characters or more in all are taken out.
 
-    Lines are rows; a run is what lies between two changes of kind (gaps and islands). A group is one text.
+    Lines are rows; a run is what lies between two changes of kind (gaps and islands). A group is one text: rows have numbers of
+    their own, so that neither repeated nor null keys bring texts together.
     """
     t = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    ls = rows.select(F.col(key).alias("key"), F.posexplode(F.split(t, "\n")).alias("pos", "line")).withColumn("bare", F.trim("line"))
+    ls = rows.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), t.alias("text")).select("key", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("bare", F.trim("line"))
     ls = ls.withColumn("noise", F.col("bare").rlike("^[A-Za-z0-9+/=_-]{64,}$") & (F.size(F.array_distinct(F.split("bare", ""))) >= 12))
-    w = Window.partitionBy("key").orderBy("pos")
+    w = Window.partitionBy("row").orderBy("pos")
     ls = ls.withColumn("turn", (F.col("noise") != F.lag("noise", 1, False).over(w)).cast("int")).withColumn("run", F.sum("turn").over(w))
-    runs = ls.groupBy("key", "run").agg(F.first("noise").alias("noise"), F.count("*").alias("n"), F.sum(F.length("bare")).alias("chars"), F.sum(F.length("line")).alias("whole"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("part"))
+    runs = ls.groupBy("row", "run").agg(F.first("key").alias("key"), F.first("noise").alias("noise"), F.count("*").alias("n"), F.sum(F.length("bare")).alias("chars"), F.sum(F.length("line")).alias("whole"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("part"))
     runs = runs.withColumn("gone", F.col("noise") & (F.col("n") >= 8) & (F.col("chars") >= 4096))
-    out = runs.groupBy("key").agg(F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed_lines"), F.sum(F.when(F.col("gone"), F.col("whole")).otherwise(0)).alias("removed_chars"), F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("run", "part")))).alias("kept"))
+    out = runs.groupBy("row").agg(F.first("key").alias("key"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed_lines"), F.sum(F.when(F.col("gone"), F.col("whole")).otherwise(0)).alias("removed_chars"), F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("run", "part")))).alias("kept"))
     return out.select("key", joined(F.transform(F.flatten(F.transform("kept", lambda r: r["part"])), lambda x: x["line"])).alias("text"), "removed_lines", "removed_chars")
 
 
+def without_encoded(raw: Column) -> Column:
+    """A raw message to show: runs of 4 or more base64 or quoted-printable lines become a line that tells how many there were.
+
+    A base64 run starts with a line of 20 characters or more and goes on over lines of 4 or more; a shorter run stays as it is.
+    """
+    b64, qp = re.compile(r"[A-Za-z0-9+/]+=*"), re.compile(r"=[0-9A-Fa-f]{2}|=$")
+
+    def kinds(bare):
+        """Of each line: (kind, its run); kinds are b, q and nothing."""
+        inside, run, last = False, 0, ""
+        for x in bare:
+            fits = len(x) >= 4 and b64.fullmatch(x) is not None
+            inside = fits and (inside or len(x) >= 20)
+            kind = "b" if inside else "q" if qp.search(x) else ""
+            run += kind != last
+            last = kind
+            yield kind, run
+
+    def shown(text):
+        lines = text.splitlines(keepends=True)
+        out = []
+        told = list(zip(kinds(x.strip() for x in lines), lines, strict=True))
+        for (kind, _), part in groupby(told, key=lambda t: t[0]):
+            part = [x for _, x in part]
+            if kind and len(part) >= 4:
+                size = f", ~{sum(map(len, part)) * 3 // 4 // 1024} KB" if kind == "b" else ""
+                out.append(f"[... {'base64' if kind == 'b' else 'quoted-printable'} content removed ({len(part)} rows{size}) ...]\n")
+            else:
+                out += part
+        return "".join(out)
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else shown(v))
+
+    # only texts that have such lines at all go to Python
+    t = F.coalesce(raw, F.lit(""))
+    some = t.rlike(r"(?m)^\s*[A-Za-z0-9+/]{20,}=*\s*$") | t.rlike(r"=[0-9A-Fa-f]{2}") | t.rlike(r"(?m)=\s*$")
+    return F.coalesce(run(F.when(some, t)), t)
+
+
 def layer(text: Column) -> Column:
     """(context, lines, removed_quoted, removed_headers, removed_tail): the conversation layer that a model should read.
 

@@ -58,24 +58,50 @@ def without_conflicts(rows: DataFrame, key: str, label: str = "label") -> DataFr
     return rows.join(clash, key, "left_anti")
 
 
+def take(v: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of v for each row of best (SLIM's columns, m: how many rows of v have all of them, and others, which are added).
+
+    Rows are taken by all of SLIM, so that a repeated ord brings no other text along; only texts of rows that are
+    equal in all of it are shuffled, to leave one of each.
+    """
+    # a null ord is an ord of its own
+    same = lambda x: [v[c].eqNullSafe(x[c]) for c in SLIM]
+    added = [c for c in best.columns if c not in (*SLIM, "m")]
+    once, several = (best.where(cond) for cond in ("m = 1", "m > 1"))
+    out = v.join(once, same(once)).select(*[v[c] for c in KEPT], *[once[c] for c in added])
+    if several.isEmpty():
+        return out
+    more = v.join(several, same(several)).select(*[v[c] for c in KEPT], *[several[c] for c in added])
+    return out.unionByName(more.dropDuplicates(list(SLIM)))
+
+
+SLIM = ("ord", "source", "source_file", "label", "text_hash")
+
+
+def first_of(slim: DataFrame, *keys: str) -> DataFrame:
+    """The row of slim that comes first of each key: by ord, then by what else it has; a `min` with partial aggregation."""
+    cols = [c for c in slim.columns if c != "m"]
+    counted = slim if "m" in slim.columns else slim.groupBy(*cols).agg(F.count("*").alias("m"))
+    return counted.groupBy(*keys).agg(F.min(F.struct(*cols, "m")).alias("w")).select("w.*")
+
+
 def clean(rows: DataFrame, compose: bool = True) -> DataFrame:
     """Valid rows, without texts that have both labels, the first of each text.
 
     Choices are made on a checkpointed table of ids, labels and hashes; texts are read again to
-    take the chosen ones, and never shuffled before.
+    take the chosen ones, and never shuffled before. ord need not be unique: rows with the same ord are ordered by their source and file.
     """
     v = valid(rows, compose)
-    slim = cut(v.select("ord", "label", "text_hash"))
-    return v.join(first_wins(without_conflicts(slim, "text_hash"), "text_hash").select("ord"), "ord", "left_semi").select(*KEPT)
+    slim = cut(v.select(*SLIM))
+    return take(v, cut(first_of(without_conflicts(slim, "text_hash"), "text_hash")))
 
 
 def dedupe_templates(rows: DataFrame, compose: bool = True) -> DataFrame:
     """clean, then the same by template fingerprint; the first of each label and fingerprint stays."""
     v = valid(rows, compose)
-    slim = cut(v.select("ord", "label", "text_hash", template_hash(F.col("text")).alias("template_hash")))
-    once = cut(first_wins(without_conflicts(slim, "text_hash"), "text_hash"))
-    chosen = first_wins(without_conflicts(once, "template_hash"), "label", "template_hash").select("ord", "template_hash")
-    return v.join(chosen, "ord").select(*KEPT, "template_hash")
+    slim = cut(v.select(*SLIM, template_hash(F.col("text")).alias("template_hash")))
+    once = cut(first_of(without_conflicts(slim, "text_hash"), "text_hash"))
+    return take(v, cut(first_of(without_conflicts(once, "template_hash"), "label", "template_hash"))).select(*KEPT, "template_hash")
 
 
 def append_new(rows: DataFrame) -> DataFrame:
@@ -84,10 +110,11 @@ def append_new(rows: DataFrame) -> DataFrame:
     The first of a hash is kept; later ones with its label are skipped until another label comes, which is kept, and
     from then on every row of that hash is.
     """
-    by = Window.partitionBy("text_hash").orderBy("ord")
-    r = rows.withColumn("first_label", F.first("label").over(by)).withColumn("n", F.row_number().over(by))
-    r = r.withColumn("clash", F.max(F.col("label") != F.col("first_label")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.where((F.col("n") == 1) | F.col("clash")).drop("first_label", "n", "clash")
+    first = rows.groupBy("text_hash").agg(F.min(F.struct("ord", "label")).alias("first"))
+    told = rows.join(first, "text_hash")
+    other = told.where(F.col("label") != F.col("first.label")).groupBy("text_hash").agg(F.min("ord").alias("clash"))
+    # minima by hash, so that no task orders the rows of one
+    return told.join(other, "text_hash", "left").where((F.col("ord") == F.col("first.ord")) | (F.col("ord") >= F.col("clash"))).select(*rows.columns)
 
 
 def upsert_status(new: DataFrame, existing: DataFrame, overwrite: bool = False, min_chars: int = 10) -> DataFrame:
@@ -136,10 +163,9 @@ def rank_within(rows: DataFrame, groups: list[str], order: list[str]) -> DataFra
 
 def profile(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by each key on its own and in all: one pass of grouping sets."""
-    sets = ", ".join(f"({k})" for k in keys)
-    rows.createOrReplaceTempView("corvid_profile")
-    cols = ", ".join(f"coalesce({k}, '*') as {k}" for k in keys)
-    return rows.sparkSession.sql(f"select {cols}, count(*) as n_rows, count_if(label = 1) as n_positive from corvid_profile group by grouping sets ({sets}, ())")
+    sets = [[F.col(k)] for k in keys]
+    counts = rows.groupingSets([*sets, []], *keys).agg(F.count("*").alias("n_rows"), F.count_if(F.col("label") == 1).alias("n_positive"))
+    return counts.select(*[F.coalesce(k, F.lit("*")).alias(k) for k in keys], "n_rows", "n_positive")
 
 
 def constraint_counts(rows: DataFrame) -> DataFrame:

@@ -115,3 +115,11 @@ def shown_status(effective: Column, direct: Column, arc: Column, received: Colum
 def sender_domains(sender: Column, return_path: Column, reply_to: Column) -> Column:
     """The different domains of a message's sender addresses, in that order."""
     return F.array_distinct(F.filter(F.array(*[urls.domain(urls.address(c)) for c in (sender, return_path, reply_to)]), lambda d: F.coalesce(d != "", F.lit(False))))
+
+
+def spf_sender_ip(received_spf: Column, auth: Column, last_hop_ips: Column, second_ip: Column) -> Column:
+    """The address that SPF is about: client-ip of the last Received-SPF (array) that has a public one, else smtp.remote-ip of Authentication-Results, else the last hop's first public address, else the second hop's sender (IPv4)."""
+    clients = F.transform(F.reverse(F.coalesce(received_spf, F.array().cast("array<string>"))), lambda h: F.regexp_extract(h, r"(?i)client-ip=([\d.a-fA-F:]+)", 1))
+    remote = F.regexp_extract(F.coalesce(auth, F.lit("")), r"(?i)smtp\.remote-ip=([\d.]+)", 1)
+    first = lambda a: F.try_element_at(F.filter(a, urls.public_ipv4), F.lit(1))
+    return F.coalesce(first(clients), F.when(urls.public_ipv4(remote), remote), first(F.coalesce(last_hop_ips, F.array().cast("array<string>"))), second_ip)

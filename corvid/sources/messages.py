@@ -10,6 +10,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 from email import message_from_bytes, policy
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -135,6 +136,12 @@ def files(spark: SparkSession, path: str, pattern: str = "*.eml", recursive: boo
     return raw.where(F.col("length") <= fixed.MAX_FILE_BYTES).select("path", F.lit("").alias("member"), "content")
 
 
+def listed(raw: DataFrame, most: int | None = None) -> DataFrame:
+    """Files in the order of their lower-cased paths, the first `most` if that is given."""
+    rows = raw.orderBy(F.lower("path"), "path")
+    return rows if most is None else rows.limit(most)
+
+
 def too_long(spark: SparkSession, path: str, pattern: str = "*.eml") -> DataFrame:
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return raw.where(F.col("length") > fixed.MAX_FILE_BYTES).select("path", F.col("length").alias("size_bytes"), F.lit("limit_exceeded").alias("status"))
@@ -163,14 +170,14 @@ def members(path: str, data: bytes, wanted: str = "") -> Iterator[tuple[str, byt
         yield f"{name}#{i}", part
 
 
-def archive(spark: SparkSession, path: str, wanted: str = "") -> DataFrame:
-    """(path, member, content) of the messages in archives. An archive is one task's work: it can't be split."""
+def archive(spark: SparkSession, path: str, wanted: str = "", most: int | None = None) -> DataFrame:
+    """(path, member, content) of the messages in archives, the first `most` of each if that is given. An archive is one task's work: it can't be split."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for m, data in members(p, c.as_py(), wanted):
+                for m, data in islice(members(p, c.as_py(), wanted), most):
                     yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([m]), pa.array([data], pa.binary())], ["path", "member", "content"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, content binary")

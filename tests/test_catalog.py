@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from corvid.plans import context_catalog  # noqa: F401
 from corvid.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
