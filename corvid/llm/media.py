@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,6 +23,8 @@ from corvid.plans.session import cut, shared_folder, ship
 UNKNOWN = "application/octet-stream"
 FRAME = 576
 RATE = 16_000
+#: Types whose structure does not tell the length: such a file goes up to the next one that is confirmed.
+OPEN = frozenset(["audio/flac"])
 #: Fixed values: (magic bytes, their offset in the format, the format's validator).
 SIGNATURES = [
     (b"\x89PNG\r\n\x1a\n", 0, "png"),
@@ -50,10 +54,80 @@ def l32(d, i):
     return int.from_bytes(d[i : i + 4], "little")
 
 
-# Each validator takes the bytes and an offset, and gives (type, length) if a whole, well-formed file starts there, else None.
+class Told:
+    """What is known of one file's bytes. Validators that follow chains of blocks ask here, so that a step is taken once, from however many signatures."""
+
+    def __init__(self, d: bytes):
+        self.d = d
+        self.ends: dict[tuple[str, int], int] = {}
+        self.places: dict[bytes, list[int]] = {}
+        self.zips: dict[int, int] | None = None
+        self.moov: dict[int, bool] = {}
+        self.gap = (0, -1)  # from a place to the first zero byte after it
+
+    def end(self, kind: str, at: int, step) -> int:
+        """The last place of the chain from at: that from which step gives None."""
+        path, i = [], at
+        while (known := self.ends.get((kind, i))) is None:
+            path.append(i)
+            if (after := step(i)) is None:
+                known = i
+                break
+            i = after
+        for x in path:
+            self.ends[kind, x] = known
+        return known
+
+    def has_moov(self, at: int, step) -> bool:
+        """Whether one of the boxes from at on is the index of a film."""
+        path, i = [], at
+        while (known := self.moov.get(i)) is None:
+            path.append(i)
+            if (after := step(i)) is None:
+                known = False
+                break
+            if self.d[i + 4 : i + 8] == b"moov":
+                known = True
+                break
+            i = after
+        for x in path:
+            self.moov[x] = known
+        return known
+
+    def after(self, what: bytes, at: int) -> int:
+        """The first place of what at or after at; -1 if there is none."""
+        if what not in self.places:
+            self.places[what] = [m.start() for m in re.finditer(re.escape(what), self.d)]
+        found = self.places[what]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def zero(self, at: int) -> int:
+        """The first zero byte at or after at; -1 if there is none."""
+        if not self.gap[0] <= at <= self.gap[1]:
+            found = self.d.find(b"\0", at)
+            self.gap = at, found if found >= 0 else len(self.d)
+        return self.gap[1] if self.gap[1] < len(self.d) else -1
+
+    def archives(self) -> dict[int, int]:
+        """For each zip archive with a well-formed end its first byte, and the place after its last one."""
+        if self.zips is None:
+            d, self.zips = self.d, {}
+            for m in re.finditer(b"PK\x05\x06", d):
+                end = m.start()
+                if end + 22 > len(d):
+                    break
+                size, start = l32(d, end + 12), l32(d, end + 16)
+                at, stop = end - size - start, end + 22 + int.from_bytes(d[end + 20 : end + 22], "little")
+                if at >= 0 and stop <= len(d) and (not size or d[at + start : at + start + 4] == b"PK\x01\x02"):
+                    self.zips.setdefault(at, stop)
+        return self.zips
+
+
+# Each validator takes the bytes, an offset and what is known of the bytes, and gives (type, length) if a whole, well-formed file starts there, else None.
 
 
-def png(d: bytes, at: int):
+def png(d: bytes, at: int, told: Told):
     i, first = at + 8, True
     while i + 12 <= len(d):
         size, kind = u32(d, i), d[i + 4 : i + 8]
@@ -65,7 +139,7 @@ def png(d: bytes, at: int):
     return None
 
 
-def jpeg(d: bytes, at: int):
+def jpeg(d: bytes, at: int, told: Told):
     i, frame = at + 2, False
     while i + 4 <= len(d) and d[i] == 0xFF:
         mark = d[i + 1]
@@ -96,16 +170,11 @@ def jpeg(d: bytes, at: int):
     return ("image/jpeg", i + 2 - at) if frame and d[i : i + 2] == b"\xff\xd9" else None
 
 
-def gif(d: bytes, at: int):
+def gif(d: bytes, at: int, told: Told):
     if at + 13 > len(d):
         return None
     i = at + 13 + (3 << (d[at + 10] & 7) + 1 if d[at + 10] & 0x80 else 0)
-
-    def blocks(i):
-        while i < len(d) and d[i]:
-            i += 1 + d[i]
-        return i + 1
-
+    blocks = lambda i: told.end("gif", i, lambda k: k + 1 + d[k] if k < len(d) and d[k] else None) + 1
     images = 0
     while i < len(d):
         if d[i] == 0x3B:
@@ -120,7 +189,7 @@ def gif(d: bytes, at: int):
     return None
 
 
-def bmp(d: bytes, at: int):
+def bmp(d: bytes, at: int, told: Told):
     if at + 26 > len(d):
         return None
     size, start, head = l32(d, at + 2), l32(d, at + 10), l32(d, at + 14)
@@ -129,7 +198,7 @@ def bmp(d: bytes, at: int):
     return "image/bmp", size
 
 
-def riff(d: bytes, at: int):
+def riff(d: bytes, at: int, told: Told):
     if at + 12 > len(d):
         return None
     end = at + 8 + l32(d, at + 4)
@@ -148,7 +217,7 @@ def riff(d: bytes, at: int):
     return kind, end - at
 
 
-def flac(d: bytes, at: int):
+def flac(d: bytes, at: int, told: Told):
     i, first = at + 4, True
     while i + 4 <= len(d):
         kind, size = d[i], int.from_bytes(d[i + 1 : i + 4], "big")
@@ -160,50 +229,56 @@ def flac(d: bytes, at: int):
     return None
 
 
-def ogg(d: bytes, at: int):
-    i = at
-    while i + 27 <= len(d) and d[i : i + 4] == b"OggS" and d[i + 4] == 0:
-        if i == at and not d[i + 5] & 2:
+def ogg(d: bytes, at: int, told: Told):
+    def page(i):
+        """Where the page at i ends; None if there is none."""
+        if i + 27 > len(d) or d[i : i + 4] != b"OggS" or d[i + 4]:
             return None
         table = d[i + 27 : i + 27 + d[i + 26]]
         end = i + 27 + d[i + 26] + sum(table)
-        if len(table) < d[i + 26] or end > len(d):
-            return None
-        if d[i + 5] & 4:
-            return "application/ogg", end - at
-        i = end
-    return None
+        return None if len(table) < d[i + 26] or end > len(d) else end
+
+    if at + 27 > len(d) or not d[at + 5] & 2:
+        return None
+    last = told.end("ogg", at, lambda i: None if i + 5 < len(d) and d[i + 5] & 4 else page(i))
+    end = page(last)
+    return None if end is None else ("application/ogg", end - at)
 
 
-def pdf(d: bytes, at: int):
+def pdf(d: bytes, at: int, told: Told):
     if not d[at + 5 : at + 6].isdigit():
         return None
-    end = d.find(b"%%EOF", at)
-    if end < 0 or d.find(b"startxref", at, end) < 0:
+    end = told.after(b"%%EOF", at)
+    if end < 0 or not at <= told.after(b"startxref", at) < end:
         return None
-    while (further := d.find(b"%%EOF", end + 5)) >= 0 and d.find(b"%PDF-", end, further) < 0 and d.find(b"startxref", end, further) >= 0:
+    while (further := told.after(b"%%EOF", end + 5)) >= 0 and not end <= told.after(b"%PDF-", end) < further and end <= told.after(b"startxref", end) < further:
         end = further
     return "application/pdf", end + 5 - at
 
 
-def zipped(d: bytes, at: int):
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(d):
-        size, start = l32(d, end + 12), l32(d, end + 16)
-        stop = end + 22 + int.from_bytes(d[end + 20 : end + 22], "little")
-        if at + start + size == end and stop <= len(d) and (not size or d[at + start : at + start + 4] == b"PK\x01\x02"):
-            return "application/zip", stop - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return None
+def zipped(d: bytes, at: int, told: Told):
+    stop = told.archives().get(at)
+    return None if stop is None else ("application/zip", stop - at)
 
 
-def gzipped(d: bytes, at: int):
+def gzipped(d: bytes, at: int, told: Told):
     if at + 18 > len(d) or d[at + 3] & 0xE0:
         return None
-    read, i = zlib.decompressobj(31), at
+    flags, start = d[at + 3], at + 10
+    if flags & 4:
+        start += 2 + int.from_bytes(d[start : start + 2], "little")
+    for _ in range((flags >> 3 & 1) + (flags >> 4 & 1)):
+        if (zero := told.zero(start)) < 0:
+            return None
+        start = zero + 1
+    start += flags & 2
+    if start >= len(d) or d[start] & 6 == 6:  # no such kind of block
+        return None
+    read, i, step = zlib.decompressobj(31), at, 256
     try:
         while i < len(d) and not read.eof:
-            block = d[i : i + 65536]
+            block = d[i : i + step]
+            step = min(65536, 4 * step)
             more = read.decompress(block, 1 << 20)
             while read.unconsumed_tail:  # what it holds is not kept
                 more = read.decompress(read.unconsumed_tail, 1 << 20)
@@ -214,18 +289,19 @@ def gzipped(d: bytes, at: int):
     return ("application/gzip", i - len(read.unused_data) - at) if read.eof else None
 
 
-def mp4(d: bytes, at: int):
-    i, seen = at, []
-    while i + 8 <= len(d):
-        size, kind = u32(d, i), d[i + 4 : i + 8]
-        head = 8
+def mp4(d: bytes, at: int, told: Told):
+    def box(i):
+        """Where the box at i ends; None if there is none."""
+        if i + 8 > len(d):
+            return None
+        size, head = u32(d, i), 8
         if size == 1 and i + 16 <= len(d):
             size, head = int.from_bytes(d[i + 8 : i + 16], "big"), 16
-        if size < head or i + size > len(d) or not all(32 <= x < 127 for x in kind):
-            break
-        seen.append(kind)
-        i += size
-    return ("video/mp4", i - at) if seen[:1] == [b"ftyp"] and b"moov" in seen else None
+        return None if size < head or i + size > len(d) or not all(32 <= x < 127 for x in d[i + 4 : i + 8]) else i + size
+
+    if box(at) is None or not told.has_moov(at, box):
+        return None
+    return "video/mp4", told.end("mp4", at, box) - at
 
 
 VALIDATORS = {"png": png, "jpeg": jpeg, "gif": gif, "bmp": bmp, "riff": riff, "flac": flac, "ogg": ogg, "pdf": pdf, "zip": zipped, "gzip": gzipped, "mp4": mp4}
@@ -250,16 +326,19 @@ def sniff(data: bytes | None) -> tuple[str, int, list[tuple[int, int, str]]]:
     """
     data = data or b""
     kind, length, found, covered = UNKNOWN, len(data), [], 0
+    known = Told(data)
     starts = sorted((end - back, name) for end, (back, name) in automaton().iter(data.decode("latin-1")))
     for at, name in starts:
         if at < 0 or at and at < covered:
             continue
-        if told := VALIDATORS[name](data, at):
+        if told := VALIDATORS[name](data, at, known):
             if at == 0:
                 kind, length = told
             else:
+                if found and found[-1][2] in OPEN:
+                    found[-1] = (found[-1][0], min(found[-1][1], at - found[-1][0]), found[-1][2])
                 found.append((at, told[1], told[0]))
-                covered = at + told[1]
+                covered = at + (told[1] if told[0] not in OPEN else 1)
     return kind, length, found
 
 
@@ -328,11 +407,11 @@ def inspect(media: DataFrame, key: str = "key", content: str = "media", declared
     return media.select(F.col(key).alias("key"), F.col(declared).alias("declared"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
-FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, media_type string, corrected boolean, carved_files int, carved_bytes bigint"
 
 
-def features(media: bytes) -> tuple:
-    """FEATURES of a stored WAV file, from its own bytes."""
+def features(media: bytes, declared: str = UNKNOWN) -> tuple:
+    """FEATURES of a stored WAV file, from its own bytes; corrected tells whether its type was declared otherwise, carved_* what other files its samples hold."""
     kind, length, inside = sniff(media)
     if kind != "audio/wav" or length != len(media):
         raise ValueError("the stored file is not whole")
@@ -340,7 +419,7 @@ def features(media: bytes) -> tuple:
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     signs = x >= 128
     feature = f"type={kind};frames={len(x) // FRAME};peak={int(abs(x - 128).max())};mean={x.sum() / len(x):.4f};rms={np.sqrt(((x - 128) ** 2).sum() / len(x)):.4f};crossings={int((signs[1:] != signs[:-1]).sum())};carved={len(inside)}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, kind, kind != declared, len(inside), sum(n for _, n, _ in inside)
 
 
 def measure(stored: DataFrame) -> DataFrame:
@@ -348,19 +427,20 @@ def measure(stored: DataFrame) -> DataFrame:
     ship(stored.sparkSession)
 
     @F.pandas_udf(FEATURES)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
-        for files in batches:
-            yield pd.DataFrame([features(x) for x in files], columns=names)
+        for files, declared in batches:
+            yield pd.DataFrame([features(x, told) for x, told in zip(files, declared, strict=True)], columns=names)
 
-    return stored.select("key", "n_bytes", run("media").alias("r")).select("key", "n_bytes", "r.*")
+    return stored.select("key", "n_bytes", run("media", "declared").alias("r")).select("key", "n_bytes", "r.*")
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """measure's rows for docs whose files were written to a table in the shared folder and read back; checkpointed, and the table removed."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
-    store(docs, key, text).write.option("compression", "zstd").parquet(path)
-    out = cut(measure(spark.read.parquet(path)))
-    remove(spark, path)
-    return out
+    try:
+        store(docs, key, text).write.option("compression", "zstd").parquet(path)
+        return cut(measure(spark.read.parquet(path)))
+    finally:
+        remove(spark, path)
