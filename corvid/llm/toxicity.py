@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from corvid.plans.session import hash_below, ship, small_enough
 ORDER = 4
 #: One in so many learning rows is set aside from the counts; of those, about so many fit the scale of the scores.
 ASIDE, FIT_ROWS = 6, 6000
-#: Words of a window.
-WINDOW = 4
+#: Bounds of memory only: words that are looked up at once, and words that a worker remembers.
+TOGETHER, REMEMBERED = 1 << 17, 1 << 17
 WORD = re.compile(r"\w+")
 EDGE = 1  # the code that stands before a word's first letter and after its last
 THRESHOLD = 0.5
@@ -30,6 +31,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def each_word(text: str | None) -> Iterator[str]:
+    """words_of, without a list of all words where the text is long."""
+    return iter(words_of(text)) if len(text or "") < TOGETHER else (m[0] for m in WORD.finditer(text.lower()))
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of each word as rows of ORDER codes, and the place of its word."""
     if not words:
@@ -91,40 +97,59 @@ class Ratios:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) of seen n-grams, and of unseen ones by their context; and the scores' scale."""
+    """Log-likelihood ratios (toxic to ordinary) of seen n-grams, and of unseen ones by their context; and the score's scale and offset."""
 
     seen: Ratios  # of n-grams
     unseen: Ratios  # of contexts
-    weights: np.ndarray = None  # of features(), and a constant
+    weights: np.ndarray = None
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
-        """For each word, the sum of its n-grams' ratios."""
+        """For each word, the ratio of its two likelihoods' logarithms for each of its n-grams."""
         codes, own = grams(words)
         r = self.seen.find(codes, np.nan)
         none = np.isnan(r)
         if none.any():
             r[none] = self.unseen.find(codes[none, :-1], 0.0)
-        return np.bincount(own, r, len(words))
-
-    def features(self, texts) -> np.ndarray:
-        """Of each text, the ratio of the two likelihoods' logarithms for each letter: in all, and in the windows of words with the most toxic, and the mean of their positive parts."""
-        split = [words_of(t) for t in texts]
-        distinct = sorted({w for ws in split for w in ws})
-        known = dict(zip(distinct, range(len(distinct)), strict=True))
-        ratios = self.word_ratios(distinct)
-        sizes = np.fromiter(map(len, distinct), np.float64, len(distinct)) + 1
-        out = np.zeros((len(split), 4))
-        for i, ws in enumerate(split):
-            if ws:
-                at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-                r, n = ratios[at], sizes[at]
-                rs, ns = np.concatenate([[0], np.cumsum(r)]), np.concatenate([[0], np.cumsum(n)])
-                w = min(WINDOW, len(ws))
-                out[i] = rs[-1] / ns[-1], ((rs[w:] - rs[:-w]) / (ns[w:] - ns[:-w])).max(), (r / n).max(), (r / np.sqrt(n)).max()
-        return out
-
-    def score(self, texts) -> np.ndarray:
-        z = self.features(texts) @ self.weights[:-1] + self.weights[-1]
+        return np.bincount(own, r, len(words)) / np.bincount(own, minlength=len(words))
+
+    def ratios(self, texts, known: dict[str, float] | None = None) -> np.ndarray:
+        """Of each text, the greatest of its words' length-normalised log-likelihood ratios; of texts without words, the ratio of equal likelihoods, 0.
+
+        known: ratios of words that were met before. About TOGETHER words are looked up at once, of however few or many texts.
+        """
+        known = {} if known is None else known
+        out = np.full(len(texts), -np.inf)
+        words: list[str] = []
+        texts_of: list[tuple[int, int]] = []
+
+        def flush():
+            if not words:
+                return
+            fresh = {w for w in words if w not in known}
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+                fresh = set(words)
+            if fresh := sorted(fresh):
+                known.update(zip(fresh, self.word_ratios(fresh).tolist(), strict=True))
+            r = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            ends = np.cumsum([n for _, n in texts_of])
+            most = np.maximum.reduceat(r, ends - [n for _, n in texts_of])
+            np.maximum.at(out, [i for i, _ in texts_of], most)
+            words.clear()
+            texts_of.clear()
+
+        for i, text in enumerate(texts):
+            cut = each_word(text)
+            while some := list(islice(cut, TOGETHER - len(words))):
+                texts_of.append((i, len(some)))
+                words += some
+                if len(words) >= TOGETHER:
+                    flush()
+        flush()
+        return np.where(np.isinf(out), 0.0, out)
+
+    def score(self, texts, known: dict[str, float] | None = None) -> np.ndarray:
+        z = self.ratios(texts, known) * self.weights[0] + self.weights[1]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -199,77 +224,88 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-#: Words that a counting task remembers before it passes their n-grams on: a bound of memory only.
-REMEMBERED = 400_000
+#: Words that a counting task gathers before it passes their n-grams on: a bound of memory only.
+GATHERED = 1 << 18
 
 
 def count(rows: DataFrame) -> pa.Table:
-    """The n-grams of rows (text, y) with their counts in either class: (gram, toxic, ordinary), by gram.
+    """The n-grams of rows (text, y, aside) with their counts in either class, and in either class of the rows set aside: (gram, ordinary, toxic, ordinary_aside, toxic_aside), by gram.
 
     Each task counts words, then the n-grams of different words, so that what is shuffled is a row for each n-gram and task.
     """
+    names = ("ordinary", "toxic", "ordinary_aside", "toxic_aside")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: tuple[Counter, Counter] = (Counter(), Counter())
+        tally = [Counter() for _ in names]
 
         def told():
-            words = sorted(tally[0].keys() | tally[1].keys())
+            words = sorted(set().union(*tally))
             codes, own = grams(words)
-            by = [np.fromiter((t[w] for w in words), np.float64, len(words)) for t in tally]
             _, first, inverse = np.unique(named(codes), return_index=True, return_inverse=True)
             text = codes[first].astype("<u4").tobytes().decode("utf-32-le")
             kinds = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+            sums = [np.bincount(inverse, np.fromiter((t[w] for w in words), np.float64, len(words))[own], len(first)).astype(np.int64) for t in tally]
             for t in tally:
                 t.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array(np.bincount(inverse, c[own], len(first)).astype(np.int64)) for c in reversed(by))], ["gram", "toxic", "ordinary"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *map(pa.array, sums)], ["gram", *names])
 
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tally[y].update(words_of(text))
-            if len(tally[0]) + len(tally[1]) > REMEMBERED:
-                yield from told()
-        if tally[0] or tally[1]:
-            yield from told()
-
-    parts = rows.select("text", "y").mapInArrow(run, "gram string, toxic bigint, ordinary bigint")
+            for text, y, aside in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = each_word(text.as_py())
+                while some := list(islice(words, GATHERED)):
+                    tally[y + 2 * aside].update(some)
+                    if sum(map(len, tally)) > GATHERED:
+                        yield told()
+        if any(tally):
+            yield told()
+
+    rows = rows if "aside" in rows.columns else rows.withColumn("aside", F.lit(0))
+    parts = rows.select("text", "y", "aside").mapInArrow(run, f"gram string, {', '.join(f'{n} bigint' for n in names)}")
     # a row for each different n-gram comes to the driver: they grow with the input
-    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("gram")
+    return parts.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names]).toArrow().sort_by("gram")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """A model of all labelled rows that are not held out; about fit_rows of them, set aside from the counts, scale the scores.
+    """A model of all labelled rows that are not held out.
 
-    Rows with a null key or a label other than 0 and 1 are ignored; a key with several labels counts with
-    each. Without rows of both labels every score is 0.
+    The scale and offset of its scores are fitted on about fit_rows of the rows set aside, by a model that has
+    not counted them; then those are counted too. Rows with a null key or a label other than 0 and 1 are ignored; a key
+    with several labels counts with each. Without rows of both labels every score is 0.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null").where(~held_out("key"))
-    aside = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(ASIDE)) == 0
+    known = known.withColumn("aside", (F.pmod(F.xxhash64("key", F.lit(7)), F.lit(ASIDE)) == 0).cast("int"))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def of(rows: DataFrame) -> DataFrame:
         # beyond that size both sides are shuffled by key
         return texts.join(F.broadcast(rows) if small_enough(rows, 16) else rows, "key")
 
-    table = count(of(known.where(~aside)))
+    table = count(of(known))
     codes = np.frombuffer("".join(table["gram"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
-    model = train(codes, table["toxic"].to_numpy().astype(float), table["ordinary"].to_numpy().astype(float))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    ordinary, toxic, ordinary_aside, toxic_aside = (table[n].to_numpy().astype(float) for n in table.column_names[1:])
+    del table
+    early = ordinary + toxic > 0
+    model = train(codes[early], toxic[early], ordinary[early])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in shared.value.features(b.column(0).to_pylist())], pa.binary())], ["y", "x"])
+    def scaled(sample: DataFrame) -> np.ndarray | None:
+        """The scale and offset for the ratios of a sample of rows; None if it has not both labels."""
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(shared.value.ratios(b.column(0).to_pylist()))], ["y", "x"])
 
-    for sample in (known.where(aside), known):
         chosen = sample.where(hash_below("key", fit_rows / max(1, sample.count()))).limit(2 * fit_rows)
-        got = of(chosen).select("text", "y").mapInArrow(run, "y int, x binary").limit(4 * fit_rows).collect()
-        y = np.array([r["y"] for r in got], float)
-        if 0 < y.sum() < len(y):
-            break
-    order = np.lexsort([*np.stack([np.frombuffer(r["x"]) for r in got]).T, y]) if got else np.zeros(0, int)
-    x = np.stack([np.frombuffer(got[i]["x"]) for i in order]) if got else np.zeros((0, 4))
-    model.weights = scale(x, y[order])
-    shared.unpersist()
+        got = np.array(sorted((r["x"], r["y"]) for r in of(chosen).select("text", "y").mapInArrow(run, "y int, x double").limit(4 * fit_rows).collect()))
+        shared.destroy()
+        return scale(got[:, :1], got[:, 1]) if len(got) and 0 < got[:, 1].sum() < len(got) else None
+
+    weights = scaled(known.where("aside = 1"))
+    model = train(codes, toxic + toxic_aside, ordinary + ordinary_aside)
+    if weights is None:
+        weights = scaled(known)
+    model.weights = scale(np.zeros((0, 1)), np.zeros(0)) if weights is None else weights
     return model
 
 
@@ -280,14 +316,18 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, float] = {}
         for texts in batches:
-            yield pd.Series(shared.value.score(texts.tolist()))
+            yield pd.Series(shared.value.score(texts, known))
 
     return run
 
 
 def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (key, held_out, score, predicted) for the rows of docs: score grows with the toxic model's likelihood of the whole text over the ordinary one's.
+    """Rows (key, held_out, score, predicted) for the rows of docs: score grows with the length-normalised log-likelihood of the text's most toxic word under the toxic model, less that under the ordinary one.
+
+    The whole text is compared, word by word: a long text's few toxic words are not outweighed by the rest. A word's n-grams do not
+    cross its edges, so what ordinary words say together is not seen.
 
     Null texts, and texts without words, score as texts whose likelihoods are the same. Repeated rows give repeated rows; other
     columns are not read.
