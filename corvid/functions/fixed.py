@@ -7,6 +7,7 @@ LEGITIMATE_LABELS = ["0", "benign", "ham", "legit", "legitimate", "non phishing"
 PHISHING_LABELS = ["1", "fraud", "fraudulent", "malicious", "phish", "phishing", "phishing email", "scam", "spam"]
 SYNTHETIC_PREFIX, SYNTHETIC_SOURCES = "synthetic_", ["kaggle_phishing_and_legitimate_emails"]
 DISALLOWED_SOURCES, LEGACY_SOURCES = ["ubuntu_modern_ham"], ["kaggle", "kaggle_subhajournal_phishingemails"]
+FORCED_SPLITS = {"spaphish_train": "train", "spaphish_validation": "validation", "spaphish_test": "test", "zenodo_validation_2024": "validation"}
 MAX_SYNTHETIC_SHARE, CAMPAIGN_COSINE = 0.10, 0.83
 
 # --- analysis limits (fixed values) ---

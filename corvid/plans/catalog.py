@@ -205,7 +205,7 @@ def holdout(pdf):
     """Whole sources to splits; a row for each source comes in."""
     import pandas as pd
 
-    told = campaigns.assign(list(zip(pdf["source"], pdf["n"].tolist(), strict=True)), campaigns.SHARES, "42")
+    told = campaigns.assign(list(zip(pdf["source"], pdf["n"].tolist(), strict=True)), campaigns.SHARES, "42", "all")
     return pd.DataFrame({"source": list(told), "split": list(told.values())})
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvid.functions import fixed
-from corvid.operators import attachments, body, context, enrich, headers, policy
-from corvid.plans.catalog import documents, query
-from corvid.plans.session import table
+from corvid.operators import attachments, body, campaigns, context, corpus, enrich, headers, policy
+from corvid.plans.catalog import documents, labelled, query
+from corvid.plans.session import cut, table
 
 
 def literal(v) -> str:
@@ -362,3 +362,26 @@ ROUTED = Messages(r1=(["pass client-ip=8.8.8.8;", "fail client-ip=10.0.0.1;", No
 def hdr13_spf_sender(spark, sf_dir):
     r = ROUTED.rows(spark, sf_dir)
     return r.select("c_custkey", headers.spf_sender_ip(F.array("r1", "r2"), F.col("auth"), F.array("hop"), F.col("second")).alias("ip"))
+
+
+# ------------------------------------------------------------------ campaigns and splits on them
+
+RULES = ["label_domain", "unknown_split", "banned_source", "synthetic_outside_train", "text_hash_in_several_splits", "campaign_id_in_several_splits", "text_hash_in_several_labels"]
+
+
+@query(" union all ".join(f"select '{r}' as rule, 0::bigint as violations" for r in RULES))
+def cmp03_split_invariants(spark, sf_dir):
+    """The rules that a split by campaigns must keep, counted on its rows."""
+    rows = cut(corpus.clean(labelled(spark, sf_dir)))
+    return corpus.constraint_counts(cut(campaigns.split_campaigns(rows)))
+
+
+@query("select s as source, case when n = 1 then x[1] else null end as split from (select source as s, count(*) as n, list(split) as x from (values ('a', 'train')) t(source, split) group by 1) where false")
+def cmp04_two_splits(spark, sf_dir):
+    """Sources that a holdout of whole sources put in two splits, or campaigns that it did: none."""
+    d = documents(spark, sf_dir)
+    source = F.concat(F.lit("s"), F.pmod("doc_id", F.lit(6)).cast("string"))
+    rows = corpus.clean(d.select(F.col("doc_id").alias("ord"), "text", F.pmod("doc_id", F.lit(2)).alias("label"), source.alias("source"), F.lit("").alias("source_file")))
+    told = cut(campaigns.split_sources(cut(rows), forced={"s0": "test"}))
+    both = told.groupBy("source").agg(F.countDistinct("split").alias("n"), F.min("split").alias("split")).unionByName(told.groupBy(F.col("campaign_id").alias("source")).agg(F.countDistinct("split").alias("n"), F.min("split").alias("split")))
+    return both.where("n > 1").select("source", "split")

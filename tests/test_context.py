@@ -162,3 +162,57 @@ def test_compressed_objects_are_scanned(spark):
 def test_spf_sender_without_anything(spark):
     none = F.lit(None).cast("array<string>")
     assert spark.range(1).select(headers.spf_sender_ip(none, F.lit(None).cast("string"), none, F.lit(None).cast("string"))).first()[0] is None
+
+
+def made_rows(n=60):
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(2000)]
+    out = []
+    for label in (0, 1):
+        for s in "abc":
+            for _ in range(n // 6):
+                out.append((len(out), " ".join(r.choices(words, k=40)) + f" {label}{s}", label, f"src_{s}{label}", "f"))
+    near = out[0][1]
+    # a campaign in two sources, and one with both labels
+    out += [(1000, near + " extra", 0, "src_b0", "f"), (1001, out[-1][1] + " more", 0, "src_a0", "f")]
+    out += [(1002, "synthetic text of its own, with enough words in it to stay", 1, "synthetic_x", "f")]
+    return out
+
+
+def test_splits_by_campaigns_and_sources(spark):
+    from corvid.operators import campaigns
+
+    df = spark.createDataFrame(made_rows(), "ord int, text string, label int, source string, source_file string")
+    rows = corpus.clean(df)
+    told = campaigns.split_campaigns(rows).collect()
+    by = {}
+    for r in told:
+        by.setdefault(r["campaign_id"], []).append(r)
+    assert all(len({r["split"] for r in v}) == 1 and len({r["source"] for r in v}) == 1 and len({r["label"] for r in v}) == 1 for v in by.values())
+    assert [r["split"] for r in told if r["source"] == "synthetic_x"] == ["train"]
+    assert len(told) < rows.count()  # the campaign with both labels is gone, and one row of that in two sources stays
+    held = campaigns.split_sources(rows, forced={"src_a0": "test"}).collect()
+    splits = {}
+    for r in held:
+        splits.setdefault(r["source"], set()).add(r["split"])
+    assert splits["src_a0"] == {"test"} and all(len(v) == 1 for v in splits.values())
+    with pytest.raises(ValueError, match="three sources"):
+        campaigns.split_sources(rows.where("source != 'src_c1'"))
+
+
+def test_balance_and_build(spark):
+    from corvid.operators import campaigns
+
+    df = spark.createDataFrame(made_rows() + [(2000 + i, f"one more legitimate text, number {i * 7919}, with words of its own {chr(97 + i) * 9}", 0, "src_a0", "f") for i in range(6)], "ord int, text string, label int, source string, source_file string")
+    table, found = campaigns.build(df, "campaign")
+    n = {r["label"]: r["count"] for r in table.where("source not like 'synthetic%'").groupBy("label").count().collect()}
+    assert abs(n[0] - n[1]) <= 3 and found.where("violations > 0").count() == 0
+    held = campaigns.balanced(corpus.clean(df), "source_holdout")
+    per = held.groupBy("split").pivot("label", [0, 1]).count().collect()
+    assert all(r["0"] == r["1"] for r in per if r["split"] != "train") or all(r["0"] is not None and r["1"] is not None for r in per)
+    with pytest.raises(ValueError, match="mode"):
+        campaigns.balanced(corpus.clean(df), "other")
+    with pytest.raises(ValueError, match="both labels"):
+        campaigns.build(df.where("label = 0"))
