@@ -25,14 +25,16 @@ NAMES = (
     "entropy run wordless shouted exclaimed decorated piped sentence short"
 ).split()
 MARKS = frozenset(".,;:!?'\"()-–—¿¡«»‘’“”")
-CLASSED = 0x3000
+PLANES = 0x110000
+#: Texts whose code points are all below this are counted in a table, others by sorting: the numbers are the same.
+TABLE = 0x3000
 
 
 @cache
 def classes() -> np.ndarray:
-    """Of each code point below CLASSED: 0 lower or caseless letter or mark, 1 upper, 2 digit, 3 space, 4 punctuation, 5 symbol, 6 other."""
-    out = np.zeros(CLASSED, np.uint8)
-    for cp in range(CLASSED):
+    """Of each code point: 0 lower or caseless letter or mark, 1 upper, 2 digit, 3 space, 4 punctuation, 5 symbol, 6 other."""
+    out = np.zeros(PLANES, np.uint8)
+    for cp in range(PLANES):
         kind = unicodedata.category(c := chr(cp))
         out[cp] = 3 if c.isspace() else 4 if c in MARKS else 1 if kind == "Lu" else 0 if kind[0] in "LM" else 2 if kind[0] == "N" else 5 if kind[0] in "PS" else 6
     return out
@@ -43,10 +45,14 @@ def statistics(text: str | None) -> list[float]:
     text = text or ""
     cp = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     n = max(1, len(cp))
-    cp = np.minimum(cp, CLASSED - 1)
-    seen = np.bincount(cp, minlength=CLASSED)
-    kind = np.bincount(classes(), seen, 7) / n
-    p = seen[seen > 0] / n
+    if cp.max(initial=0) < TABLE:
+        seen = np.bincount(cp, minlength=TABLE)
+        which = np.flatnonzero(seen)
+        seen = seen[which]
+    else:
+        which, seen = np.unique(cp, return_counts=True)
+    kind = np.bincount(classes()[which], seen, 7) / n
+    p = seen / n
     run = np.diff(np.flatnonzero(np.diff(cp, prepend=-1, append=-1))).max() if len(cp) else 0
     words = text.split()
     w = max(1, len(words))
