@@ -54,6 +54,14 @@ def counts(text: str | None) -> np.ndarray | None:
 LOGS = np.log1p(np.arange(1 << 16)).astype(np.float32)
 
 
+def logs(rows: np.ndarray) -> np.ndarray:
+    """log(1 + n) of counts; those that the table does not hold are computed."""
+    top = len(LOGS) - 1
+    if rows.max(initial=0) <= top:
+        return LOGS[rows]
+    return np.where(rows <= top, LOGS[np.minimum(rows, top)], np.log1p(rows)).astype(np.float32)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(norm > 0, norm, 1)
@@ -68,7 +76,7 @@ class Model:
     least: np.ndarray  # the closeness below which a centroid rejects
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
-        return unit(LOGS[np.minimum(rows, len(LOGS) - 1)] * self.idf)
+        return unit(logs(rows) * self.idf)
 
     def predict(self, texts) -> pd.DataFrame:
         out = pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": 0.0, "distance": 1.0, "rejected": True})
