@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvid.operators.graph import connected_components
-from corvid.plans.session import cut, ship
+from corvid.plans.session import cut, ship, small_enough
 
 COSINE = 0.93
-#: Tables; E8 points to a table; cells that are probed in a table; the lattice's unit in projected distance, for a cosine of 0.93.
+#: Tables; E8 points to a table; cells that are probed in a table; the lattice's unit in projected distance for a cosine of COSINE (unit_for has it for others).
 TABLES, PARTS, PROBES, UNIT = 6, 2, 32, 0.23
 #: Nearest neighbours of a point that are considered in each part.
 NEAR = 12
@@ -25,6 +26,8 @@ SEED = 20_240_501
 MARGIN = 1e-6
 #: Tasks that a large ball's members are dealt to.
 SALT = 32
+#: Followers of a leader beyond which its vector is copied for that many tasks.
+CROWD = 64
 
 
 @cache
@@ -100,7 +103,30 @@ def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, unit: float
     return np.stack(own, axis=1), np.stack(probed, axis=1)
 
 
-def entries(classes: DataFrame, own_only: bool = False) -> DataFrame:
+def unit_for(least: float) -> float:
+    """The lattice's unit for a least cosine: it grows with the chord of the linking angle, so that the chance to meet stays the same."""
+    return max(1e-4, UNIT * math.sqrt((1 - least) / (1 - COSINE)))
+
+
+def with_units(made: DataFrame) -> DataFrame:
+    """made with a column unit: v, whose rows are not empty and finite, scaled to length 1. Scaling by the largest component first keeps squares from overflowing."""
+    schema = T.StructType([*made.schema.fields, T.StructField("unit", T.ArrayType(T.DoubleType()))])
+    at = made.columns.index("v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, sizes = b.column(at).flatten().to_numpy(zero_copy_only=False), np.diff(b.column(at).offsets.to_numpy())
+                ends = np.cumsum(sizes)
+                x = x / np.repeat(np.maximum.reduceat(np.abs(x), ends - sizes), sizes)
+                x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, ends - sizes)), sizes)
+                units = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(x))
+                yield pa.RecordBatch.from_arrays([*b.columns, units], [*b.schema.names, "unit"])
+
+    return made.mapInArrow(run, schema)
+
+
+def entries(classes: DataFrame, unit: float, own_only: bool = False) -> DataFrame:
     """Rows (cell, id, home) of classes (id, group, unit): a row for each table's own cell (home) and, unless own_only, for each cell probed."""
     ship(classes.sparkSession)
     block = 512
@@ -108,13 +134,13 @@ def entries(classes: DataFrame, own_only: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, group = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.diff(b.column(2).offsets.to_numpy())
+            flat, sizes = b.column(2).flatten().to_numpy(zero_copy_only=False), np.diff(b.column(2).offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
             for dims in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dims)
                 for at in range(0, len(rows), block):
                     some = rows[at : at + block]
-                    x = np.array([b.column(2)[int(i)].as_py() for i in some])
-                    own, probed = cells(x)
+                    own, probed = cells(flat[starts[some][:, None] + np.arange(dims)], unit=unit)
                     salt = mixed(np.stack([group[some], np.full(len(some), dims)], axis=1))
                     for found, home in ((own[:, :, None], True), (probed, False))[: 1 if own_only else 2]:
                         key = (found ^ salt[:, None, None]).reshape(-1).view(np.int64)
@@ -139,16 +165,19 @@ def balls(classes: DataFrame, least: float) -> DataFrame:
     the radius is more than the linking angle, its members stay alone. Balls of several have odd numbers, those of one class even ones.
     """
     limit = math.acos(least)
-    own = cut(entries(classes, own_only=True).select("cell", "id"))
+    own = cut(entries(classes, unit_for(least), own_only=True).select("cell", "id"))
     led = own.join(own.groupBy("cell").agg(F.min("id").alias("leader")), "cell").where("leader < id").select("id", "leader").distinct()
     side = lambda n: classes.select(F.col("id").alias(n), F.col("label").alias(f"l_{n}"), F.col("unit").alias(f"u_{n}"))
-    near = led.join(side("id"), "id").join(side("leader"), "leader").where((F.col("l_id") == F.col("l_leader")) & (F.size("u_id") == F.size("u_leader"))).where(dot("u_id", "u_leader") >= math.cos(limit / 2 - MARGIN))
+    crowd = cut(led.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("leader", F.lit(True).alias("crowded")))
+    crowd = F.broadcast(crowd) if small_enough(crowd, 16) else crowd
+    marked = lambda df: df.join(crowd, "leader", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    near = salted_join(marked(led.join(side("id"), "id")), marked(side("leader")), "leader", F.col("crowded")).where((F.col("l_id") == F.col("l_leader")) & (F.size("u_id") == F.size("u_leader"))).where(dot("u_id", "u_leader") >= math.cos(limit / 2 - MARGIN))
     joined = classes.select("id", "unit").join(near.groupBy("id").agg(F.min("leader").alias("leader")), "id", "left").select("id", "unit", F.coalesce("leader", "id").alias("lead"))
     big = joined.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1").select("lead")
-    members = cut(joined.join(big, "lead"))
+    members = cut(salted_join(joined, big, "lead"))
     middle = centres(members, "lead")
     tight = salted_join(members, middle, "lead").groupBy("lead").agg(F.max(angle("unit", "centre")).alias("r")).where(2 * F.col("r") <= limit - MARGIN).select("lead")
-    kept = members.join(tight, "lead").select("id", (2 * F.col("lead") + 1).alias("ball"))
+    kept = salted_join(members, tight, "lead").select("id", (2 * F.col("lead") + 1).alias("ball"))
     return classes.select("id").join(kept, "id", "left").select("id", F.coalesce("ball", 2 * F.col("id")).alias("ball"))
 
 
@@ -160,15 +189,16 @@ def centres(members: DataFrame, by: str) -> DataFrame:
     return whole.withColumn("norm", norm).select(by, F.expr("transform(v, e -> e / norm)").alias("centre"))
 
 
-def salted_join(members: DataFrame, groups: DataFrame, by: str) -> DataFrame:
-    """members (id, by, …) with the columns of their group; a large group's members are dealt to SALT tasks."""
-    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(copies, [by, "salt"]).drop("salt")
+def salted_join(members: DataFrame, groups: DataFrame, by: str, several: Column | None = None) -> DataFrame:
+    """members (id, by, …) with the columns of their group; the members of groups of several are dealt to SALT tasks (several: a condition on by; all groups by default)."""
+    several = F.lit(True) if several is None else several
+    copies = groups.withColumn("salt", F.explode(F.when(several, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("crowded")
+    return members.withColumn("salt", F.when(several, F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).otherwise(0)).join(copies, [by, "salt"]).drop("salt")
 
 
-def meeting(classes: DataFrame) -> DataFrame:
+def meeting(classes: DataFrame, unit: float) -> DataFrame:
     """Pairs (a, b), a < b, of balls with members of which one probes the other's own cell. A ball is entered once in a cell, however many members it has."""
-    rows = entries(classes.select(F.col("ball").alias("id"), "group", "unit"))
+    rows = entries(classes.select(F.col("ball").alias("id"), "group", "unit"), unit)
     rows = rows.where("id % 2 = 0").unionByName(rows.where("id % 2 = 1").distinct())
     rows = cut(rows)
     homes = rows.where("home").select("cell", F.col("id").alias("h"))
@@ -195,10 +225,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("good", good)
-    scaled = F.transform(x, lambda e: e / F.array_max(F.transform(x, F.abs)))
     made = rows.where("good").groupBy("label", "v").agg(F.min("key").alias("low"), F.count("*").alias("m"))
-    made = made.withColumn("id", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("label")).withColumn("s", scaled)
-    classes = cut(made.withColumn("n", F.sqrt(dot("s", "s"))).withColumn("unit", F.expr("transform(s, e -> e / n)")).drop("s", "n"))
+    ship(vectors.sparkSession)
+    classes = cut(with_units(made.withColumn("id", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("label"))))
     classes = cut(classes.join(balls(classes, least), "id"))
 
     sizes = classes.groupBy("ball").agg(F.sum("m").alias("total"), F.min("low").alias("low"))
@@ -210,7 +239,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     side = lambda n: points.select(F.col("ball").alias(n), F.col("r").alias(f"r_{n}"), F.col("centre").alias(f"c_{n}"), F.col("label").alias(f"l_{n}"), F.col("total").alias(f"t_{n}"))
     limit = math.acos(least)
     apart = F.when(F.col("r_a") + F.col("r_b") > 0, angle("c_a", "c_b"))
-    both = meeting(classes).join(side("a"), "a").join(side("b"), "b").where((F.col("l_a") == F.col("l_b")) & (F.size("c_a") == F.size("c_b"))).withColumn("apart", apart)
+    both = meeting(classes, unit_for(least)).join(side("a"), "a").join(side("b"), "b").where((F.col("l_a") == F.col("l_b")) & (F.size("c_a") == F.size("c_b"))).withColumn("apart", apart)
     reach = F.col("r_a") + F.col("r_b")
     single = (reach == 0) & (dot("c_a", "c_b") >= least)
     all_of = (reach > 0) & (F.col("apart") + reach <= limit - MARGIN)
@@ -226,6 +255,6 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     named = sizes.join(parts, "ball", "left").join(by_ball, "ball", "left").withColumn("root", F.coalesce("root", "ball"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
     named = named.join(lows, "root").select("ball", "component", (F.col("total") - 1 + F.coalesce("more", F.lit(0))).alias("linked"))
-    told = classes.select("id", "ball", "label", "v").join(named, "ball").join(by_class, "id", "left").select("label", "v", (F.col("linked") + F.coalesce("others", F.lit(0))).alias("n_links"), "component")
+    told = salted_join(classes.select("id", "ball", "label", "v"), named, "ball", F.col("ball") % 2 == 1).join(by_class, "id", "left").select("label", "v", (F.col("linked") + F.coalesce("others", F.lit(0))).alias("n_links"), "component")
     out = rows.where("good").join(told, ["label", "v"]).select("key", "n_links", "component")
     return out.unionByName(rows.where("not good").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))).withColumn("kept", F.col("key").eqNullSafe(F.col("component")))
