@@ -17,8 +17,10 @@ from corvid.plans.session import cut, shared_folder, ship, small_enough
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
-#: Bounds a file, which is read as one row, and the records that are chained together.
-FILE_RECORDS = 4096
+#: Bounds a file, which is read as one row, and the records that are chained together; one record may be longer than a file's bound.
+FILE_BYTES = 64 << 20
+#: Records are written apart by their size: of the first class up to so many bytes, of each further one STEP times as many.
+SMALL, STEP = 16 << 10, 16
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 FIELD = re.compile(rb"([!#-'*+\-.0-9A-Z^-z|~]+):[ \t]*([^\r\n]*)\r\n")
 CANDIDATE = "path string, at bigint, next bigint, size bigint, type string, record_id string, refers_to string, target string, claimed string, payload_bytes bigint, payload_sha1 string"
@@ -29,7 +31,7 @@ def record_id(key: Column, digest: Column) -> Column:
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Rows (record): each row of pages as the text of a WARC record without its last line end.
+    """Rows (record, class): each row of pages as the text of a WARC record without its last line end.
 
     Of rows with equal payloads of least_bytes or more, that with the largest key is a response and the others are
     revisits that refer to it. Null html is an empty payload. Line ends in urls are escaped; a null url
@@ -54,20 +56,36 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.when(later, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), record_id(F.col("top"), F.col("digest")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"), F.lit("\r\n\r\n"),
     )
-    return rows.select(F.concat(head, http, F.when(later, F.lit("")).otherwise(F.col("body")), F.lit("\r\n")).alias("record"))
+    return rows.select(F.concat(head, http, F.when(later, F.lit("")).otherwise(F.col("body")), F.lit("\r\n")).alias("record"), size_class(F.col("url"), F.col("body")).alias("class"))
+
+
+def size_class(url: Column, html: Column) -> Column:
+    """0 for pages of up to SMALL bytes, with the url's; 1 for up to STEP times as many, and so on."""
+    size = F.octet_length(F.coalesce(html, F.lit(""))) + F.octet_length(F.coalesce(url, F.lit("")))
+    return F.greatest(F.lit(0), F.ceil(F.log(size / F.lit(float(SMALL))) / F.log(F.lit(float(STEP))))).cast("int")
 
 
 def write(pages: DataFrame, path: str, **options) -> None:
-    """Writes the records of pages to files below path, in a store that all executors share."""
-    records(pages, **options).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "none").text(path)
+    """Writes the records of pages to files below path, in a store that all executors share.
+
+    Pages of a class of sizes share files, as many in each as FILE_BYTES allows by the class's largest: a file's length is
+    bounded by bytes, not by a count. There are few classes (a page of 2 GB is of the fifth), and one pass for each that there is.
+    """
+    names = {"url": "url", "html": "html"} | {k: v for k, v in options.items() if k in ("url", "html")}
+    found = sorted({r[0] for r in pages.select(size_class(F.col(names["url"]).cast("string"), F.col(names["html"])).alias("c")).distinct().collect() if r[0] is not None})
+    rows = records(pages, **options)
+    for c in found or [0]:
+        most = max(1, FILE_BYTES // (SMALL * STEP**c))
+        rows.where(F.col("class") == c).select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).option("compression", "none").text(f"{path}/{c}")
 
 
 def candidates(path: str, data: bytes) -> list[tuple]:
     """A row for each place in data that reads as a record: its offset, its successor's, and its fields.
 
-    Places in payloads count too here: only the chain from the file's start tells them apart.
+    Places in payloads count too here: only the chain from the file's start tells them apart. Payloads are hashed only of
+    those that it reaches in data, so that what stands in payloads costs no hashing.
     """
-    out = []
+    out, bodies = [], []
     for m in MAGIC.finditer(data):
         at, fields = m.end(), {}
         while f := FIELD.match(data, at):
@@ -84,8 +102,10 @@ def candidates(path: str, data: bytes) -> list[tuple]:
             split = data.find(b"\r\n\r\n", start, end)
             body = split + 4 if split >= 0 else end
         text = {k: v.decode("utf-8", "replace") for k, v in fields.items()}
-        out.append((path, m.start(), end + 4, len(data), text.get(b"warc-type"), text.get(b"warc-record-id"), text.get(b"warc-refers-to"), text.get(b"warc-target-uri"), text.get(b"warc-payload-digest"), end - body, hashlib.sha1(memoryview(data)[body:end]).hexdigest()))
-    return out
+        out.append((path, m.start(), end + 4, len(data), text.get(b"warc-type"), text.get(b"warc-record-id"), text.get(b"warc-refers-to"), text.get(b"warc-target-uri"), text.get(b"warc-payload-digest"), end - body))
+        bodies.append((body, end))
+    seen = reachable(np.array([r[1] for r in out], np.int64), np.array([r[2] for r in out], np.int64))
+    return [(*r, hashlib.sha1(memoryview(data)[a:b]).hexdigest() if on else None) for r, (a, b), on in zip(out, bodies, seen, strict=True)]
 
 
 def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -124,7 +144,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 found = candidates(b.column(0)[i].as_py(), b.column(1)[i].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)] if found else [pa.array([], t) for t in schema.types], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, CANDIDATE).groupBy("path").applyInPandas(chain, CANDIDATE + ", whole boolean")
 
 
@@ -138,20 +158,21 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     """pages written to archives in the shared folder and read back: the columns of read, checkpointed; the archives are removed."""
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, path, **options)
-    back = cut(read(spark, path))
-    remove(spark, path)
-    return back
+    try:
+        write(pages, path, **options)
+        return cut(read(spark, path))
+    finally:
+        remove(spark, path)
 
 
-def visits(back: DataFrame) -> DataFrame:
-    """Rows (key, payload_bytes, payload_digest, record_type, refers_to) of records that `records` wrote.
+def visits(back: DataFrame, kind: str = "bigint") -> DataFrame:
+    """Rows (key, payload_bytes, payload_digest, record_type, refers_to) of records that `records` wrote; keys are of the type kind.
 
     A revisit's payload is that of the response that it refers to.
     """
-    keyed = lambda c: F.nullif(F.element_at(F.split(c, ":"), 3), F.lit("null")).cast("long")
+    keyed = lambda c: F.nullif(F.regexp_extract(c, r"(?s)^<urn:x-page:(.*):[0-9a-f]{40}>$", 1), F.lit("null")).cast(kind)
     told = back.where("type in ('response', 'revisit')").select("type", "record_id", "refers_to", "payload_bytes", "payload_sha1")
-    answered = told.where("type = 'response'").select(keyed(F.col("record_id")).alias("key"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    answered = told.where("type = 'response'").select(keyed(F.col("record_id")).alias("key"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"))
     source = told.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_sha1").alias("payload_digest"))
     again = told.where("type = 'revisit'").select("record_id", "refers_to").join(source, "refers_to", "left")
     return answered.unionByName(again.select(keyed(F.col("record_id")).alias("key"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), keyed(F.col("refers_to")).alias("refers_to")))
