@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm import simhash
-from corvid.plans.session import cut, ship
+from corvid.operators.corpus import rank_within
+from corvid.plans.session import cut, ship, small_enough
 
 CAPACITY = 8192
 #: Documents of a shard. Shards are packed apart: this bounds a task's memory and, at worst, its quadratic search.
@@ -52,9 +53,8 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> tuple[list[tup
 
 def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """A shard's documents as pieces in bins; the order of rows does not matter."""
-    rows = rows.sort_values(["key", "source", "cluster", "size"], na_position="first").reset_index(drop=True)
+    rows = rows.sort_values(["key", "copy", "source", "cluster", "size"], na_position="first").reset_index(drop=True)
     shard = int(rows["shard"].iloc[0]) if len(rows) else 0
-    same = rows.groupby("key", dropna=False, sort=False).cumcount()
     source_bit: dict = {}
     cluster_bit: dict = {}
     out, rest, n_full = [], [], 0
@@ -72,8 +72,7 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     placed, residual = best_fit([x[:3] for x in rest], capacity)
     out += [(i, piece, start, size, f"{shard}.{b}", offset, residual[b]) for (size, _, _, i, piece, start), (b, offset) in zip(rest, placed, strict=True)]
     at = pd.DataFrame(out, columns=["i", "piece", "start", "length", "bin", "offset", "room"])
-    took = rows.loc[at["i"], ["key", "source", "cluster"]].reset_index(drop=True)
-    took.insert(1, "copy", same.loc[at["i"]].to_numpy().astype("int32"))
+    took = rows.loc[at["i"], ["key", "copy", "source", "cluster"]].reset_index(drop=True)
     return pd.concat([took, at.drop(columns="i")], axis=1)
 
 
@@ -88,12 +87,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     Defined cases: null and empty texts are one piece of length 0; a null source, and a null cluster, conflict with
     nothing; rows that repeat a key are told apart by copy (0, 1, ...). Other columns are not read. An
     empty table gives an empty table. Only ids, hashes and lengths are shuffled, never texts; shards are
-    dealt by a hash of all of them, so a hot source or cluster spreads over all shards.
+    dealt by a hash of key and copy, so a hot source or cluster, and equal rows, spread over all shards.
     """
     ship(docs.sparkSession)
     t = F.col(text)
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), (F.xxhash64(F.coalesce(t, F.lit(""))) if cluster is None else cluster.cast("long")).alias("cluster"), F.coalesce(F.length(t), F.lit(0)).cast("long").alias("size"))
-    return dealt(rows, docs.select(key).count(), capacity, shard_rows)
+    return dealt(rows, capacity, shard_rows)
 
 
 def pack_near(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -104,16 +103,29 @@ def pack_near(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     each = docs.select(F.struct(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.coalesce(F.length(t), F.lit(0)).cast("long").alias("size")).alias("row"), t.alias("text"))
     found = cut(simhash.near_duplicates(each, "row", "text"))
     rows = found.select(F.col("key.key").cast(kind).alias("key"), "key.source", F.xxhash64("component").alias("cluster"), "key.size")
-    return dealt(rows, rows.count(), capacity, shard_rows)
+    return dealt(rows, capacity, shard_rows)
 
 
-def dealt(rows: DataFrame, n: int, capacity: int, shard_rows: int) -> DataFrame:
-    """Packs n rows (key, source, cluster, size) in shards."""
+def dealt(rows: DataFrame, capacity: int, shard_rows: int) -> DataFrame:
+    """Packs rows (key, source, cluster, size) in shards.
+
+    A row's shard is a hash of its key and, where rows repeat a key, of the copy's number, so that neither a hot source or
+    cluster nor any number of equal rows comes to one shard.
+    """
     kind = rows.schema["key"].dataType.simpleString()
-    shards = max(1, -(-n // shard_rows))
-    shard = F.pmod(F.xxhash64("key", "source", "cluster", "size"), F.lit(shards)).cast("int")
+    rows = cut(rows.withColumn("number", F.monotonically_increasing_id()))
+    shards = max(1, -(-rows.count() // shard_rows))
+    again = cut(rows.groupBy(F.col("key").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"))
+    if again.isEmpty():
+        told = rows.withColumn("copy", F.lit(0))
+    else:
+        again = F.broadcast(again) if small_enough(again, 16) else again
+        repeated = rows["key"].eqNullSafe(again["again"])
+        copies = rank_within(rows.join(again, repeated, "left_semi"), ["key"], ["number"]).withColumn("copy", (F.col("rank") - 1).cast("int")).drop("rank")
+        told = rows.join(again, repeated, "left_anti").withColumn("copy", F.lit(0)).unionByName(copies)
+    shard = F.pmod(F.xxhash64("key", "copy"), F.lit(shards)).cast("int")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(pdf, capacity)
 
-    return rows.withColumn("shard", shard).groupBy("shard").applyInPandas(run, FIELDS.format(key=kind))
+    return told.drop("number").withColumn("shard", shard).groupBy("shard").applyInPandas(run, FIELDS.format(key=kind))
