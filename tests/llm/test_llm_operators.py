@@ -320,3 +320,109 @@ def test_dense_groups_count_their_links(spark):
     want = components(range(len(x)), np.argwhere(np.triu(true)).tolist())
     assert (n <= true.sum(axis=1)).all() and n.sum() >= 0.99 * true.sum()
     assert sum(r["component"] != want[r["key"]] for r in got) <= 2
+
+
+def test_archives_of_long_pages(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(i, f"http://x/{i}", f"{i} " + "é<p>WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n</p>" * (1 if i % 5 else 20_000)) for i in range(1, 400)]
+    rows += [(400, None, ""), (401, "u" * 50_000, None), (402, None, rows[9][2])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    warc.write(pages, str(tmp_path / "w"))
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
+    assert len(list((tmp_path / "w").iterdir())) > 1 and sum(s > 3 << 20 for s in sizes) == 0
+    got = {r["key"]: (r["payload_bytes"], r["record_type"]) for r in warc.visits(warc.read(spark, str(tmp_path / "w"))).collect()}
+    want = {k: len((h or "").encode()) for k, _, h in rows}
+    assert {k: n for k, (n, _) in got.items()} == want
+    assert got[10][1] == "revisit" and got[402][1] == "response"
+
+
+def test_payloads_of_false_records_are_not_hashed():
+    inner = b"".join(b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % (200_000 - 40 * i) for i in range(2000))
+    body = inner + b"x" * 400_000
+    data = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    import time
+
+    began = time.process_time()
+    found = warc.candidates("f", data)
+    assert time.process_time() - began < 2
+    assert [r[-1] is not None for r in found if r[1] == 0] == [True] and all(r[-1] is None for r in found if r[1] > 0)
+
+
+def test_equal_rows_are_packed_apart(spark):
+    rows = [(7, "same text", "s")] * 3000 + [(None, "x", None)] * 50 + [(k, f"text {k}", "s") for k in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = packing.pack(docs, shard_rows=64).collect()
+    assert len(got) == len(rows) and sorted(r["copy"] for r in got if r["key"] == 7) == list(range(3000))
+    assert sorted(r["copy"] for r in got if r["key"] is None) == list(range(50))
+    shards = {}
+    for r in got:
+        shards.setdefault(r["bin"].split(".")[0], []).append(r["key"])
+    assert max(map(len, shards.values())) < 150
+
+
+def test_lattice_recall_at_other_cosines(spark):
+    rng = np.random.default_rng(3)
+    for least in (0.8, 0.9, 0.97):
+        rows = []
+        for i in range(150):
+            a = rng.normal(size=64)
+            a /= np.linalg.norm(a)
+            b = rng.normal(size=64)
+            b -= (b @ a) * a
+            b /= np.linalg.norm(b)
+            c = least + 0.004
+            rows += [(2 * i, "l", a.tolist()), (2 * i + 1, "l", (c * a + np.sqrt(1 - c * c) * b).tolist())]
+        got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<double>"), least=least)
+        assert got.where("n_links > 0").count() >= 0.98 * len(rows)
+
+
+def test_statistics_of_all_planes():
+    s = dict(zip(quality.NAMES, quality.statistics("日本語のテキスト🙂 漢字、仮名。" * 3), strict=True))
+    assert s["entropy"] > 3 and s["run"] < 1 and s["letters"] > 0.5 and s["symbols"] > 0
+    plain = "Plain text, with 3 digits: 123. " * 5
+    wide = dict(zip(quality.NAMES, quality.statistics(plain), strict=True))
+    big = quality.TABLE
+    try:
+        quality.TABLE = 0  # the other way of counting
+        assert wide == dict(zip(quality.NAMES, quality.statistics(plain), strict=True))
+    finally:
+        quality.TABLE = big
+
+
+def test_counts_beyond_the_table_of_logs():
+    rows = np.array([[0, 1, 70_000, 1 << 20]])
+    assert np.allclose(langid.logs(rows), np.log1p(rows), rtol=1e-6) and langid.logs(rows)[0, 3] > langid.logs(rows)[0, 2]
+
+
+def test_repeated_magics_cost_what_the_file_is_long():
+    import time
+
+    for magic in (b"PK\3\4PK\5\6", b"PK\3\4" + b"PK\5\6" + bytes(18), b"%PDF-1", b"%%EOF%PDF-1", b"OggS\0\2" + bytes(20) + b"\1\0", b"GIF89a1234567!a", b"\0\0\0\x08ftyp", b"\x1f\x8b\x08", b"\x89PNG\r\n\x1a\n", b"RIFF\x10\0\0\0WAVE"):
+        data = magic * ((1 << 20) // len(magic))
+        began = time.process_time()
+        media.sniff(data)
+        assert time.process_time() - began < 4, magic
+
+
+def test_a_file_after_a_flac_is_carved():
+    import zlib
+
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+    image = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IEND", b"")
+    flac = b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff\xf8" + bytes(50)
+    assert media.sniff(b"junk" + flac + image)[2] == [(4, len(flac), "audio/flac"), (4 + len(flac), len(image), "image/png")]
+
+
+def test_links_stand_within_manhattan_distance_two(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = base[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    fps = [int(x) for x in np.unique(np.concatenate([base, near]).view(np.int64))]
+    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    few, full = simhash.meetings(df)
+    cells = {r["fp"]: r["home"] for r in few.select("fp", "home").distinct().collect()}
+    pairs = {(r["a"], r["b"]) for r in simhash.close_pairs(df).collect()}
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+    assert pairs == want and full.count() == 0  # no cell is full: every link is a pair of the grid
+    digits = lambda c: [(c >> 3 * i) & 7 for i in range(21)]
+    assert all(sum(abs(x - y) for x, y in zip(digits(cells[a]), digits(cells[b]), strict=True)) <= 2 for a, b in pairs)

@@ -3,7 +3,7 @@
 from itertools import combinations
 
 import corpus_pipeline
-from corvid.llm import langid, packing, quality, simhash
+from corvid.llm import langid, packing, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,7 +19,11 @@ def test_pipeline_against_plain_version(spark):
     known = langid.fit(spark.createDataFrame(list(rows.values()), docs.schema))
     rejected = dict(zip(rows, known.predict([r["text"] for r in rows.values()])["rejected"], strict=True))
     rows = {k: r for k, r in rows.items() if not rejected[k]}
-    fp = {k: simhash.fingerprint(r["text"]) for k, r in rows.items()}
+    # the rule of near-duplicate stages: five-word shingles, a Jaccard similarity of 0.8 or more
+    sets = {}
+    for k, r in rows.items():
+        w = r["text"].lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
     root = {k: k for k in rows}
 
     def find(x):
@@ -28,7 +32,8 @@ def test_pipeline_against_plain_version(spark):
         return x
 
     for a, b in combinations(rows, 2):
-        if (fp[a] ^ fp[b]).bit_count() <= 2:
+        x, y = sets[a], sets[b]
+        if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     rows = {k: r for k, r in rows.items() if find(k) == k}
