@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import fixed, text, urls
 from corvid.operators import attachments, body, campaigns, corpus, enrich, flags, headers, links, scoring
-from corvid.plans.session import cut, table
+from corvid.plans.session import cut, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,7 +69,7 @@ def placeholder_sql(column: str) -> str:
 
 @query("select doc_id, " + ", ".join(f"len(string_split(t, '{x}')) - 1 as c{i}" for i, x in enumerate(COUNTED)) + f" from (select doc_id, {placeholder_sql('text')} as t from documents)")
 def norm03_placeholders(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", text.placeholders(F.col("text")).alias("t"))
+    rows = spread(documents(spark, sf_dir)).select("doc_id", text.placeholders(F.col("text")).alias("t"))
     return rows.select("doc_id", *[(F.size(F.split("t", r"\Q" + x + r"\E")) - 1).cast("long").alias(f"c{i}") for i, x in enumerate(COUNTED)])
 
 
@@ -156,7 +156,7 @@ def cln05_text_hash(spark, sf_dir):
 
 @query(f"select doc_id, case when tp = '' then sha256(n) else sha256(tp) end as template_hash from (select doc_id, {N_TEXT} as n, {TEMPLATE} as tp from documents)")
 def cln06_template_hash(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.template_hash(text.normalize(F.col("text"))).alias("template_hash"))
+    return spread(documents(spark, sf_dir)).select("doc_id", text.template_hash(text.normalize(F.col("text"))).alias("template_hash"))
 
 
 TEMPLATE_OF_TEXT = TEMPLATE.replace(N_TEXT, "text")
@@ -253,9 +253,9 @@ def val02_split_audit(spark, sf_dir):
 # ------------------------------------------------------------------ sources and sinks, as far as the tables go
 
 
-@query(f"select doc_id, text as body, {N_TEXT} as text, case when lower(lang) = 'en' then 0 else 1 end as label from documents where text is not null")
+@query(f"select doc_id, text as body, {N_TEXT} as text, case when lower(lang) = 'en' then 0 else 1 end as label from documents")
 def src10_labelled_table(spark, sf_dir):
-    d = documents(spark, sf_dir).where("text is not null")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", F.col("text").alias("body"), text.normalize(F.col("text")).alias("text"), text.parse_label(F.when(F.lower("lang") == "en", "Safe Email").otherwise("Phishing Email")).alias("label"))
 
 
@@ -676,17 +676,17 @@ def eml(spark, sf_dir):
     crlf = "\r\n"
     k = F.col("doc_id").cast("string")
     head = F.concat(F.lit("From: Ann <ann@a.example>" + crlf + "To: bob@b.example" + crlf + "Subject: note "), k, F.lit(crlf + "Message-ID: <"), k, F.lit("@a.example>" + crlf + 'MIME-Version: 1.0' + crlf + 'Content-Type: multipart/mixed; boundary="=x="' + crlf + crlf))
-    plain = F.concat(F.lit("--=x=" + crlf + "Content-Type: text/plain; charset=utf-8" + crlf + "Content-Transfer-Encoding: 8bit" + crlf + crlf), F.col("text"), F.lit(crlf))
+    plain = F.concat(F.lit("--=x=" + crlf + "Content-Type: text/plain; charset=utf-8" + crlf + "Content-Transfer-Encoding: 8bit" + crlf + crlf), F.coalesce("text", F.lit("")), F.lit(crlf))
     html = F.lit("--=x=" + crlf + "Content-Type: text/html; charset=utf-8" + crlf + crlf + "<p>Pa<span>y</span>Pal</p><p hidden>no</p>" + crlf)
     file = F.concat(F.lit("--=x=" + crlf + 'Content-Type: application/pdf; name="a.pdf"' + crlf + 'Content-Disposition: attachment; filename="a.pdf"' + crlf + crlf + "%PDF-1.4 "), k, F.lit(crlf + "--=x=--" + crlf))
-    return documents(spark, sf_dir).where("text is not null").select("doc_id", F.lit("t").alias("path"), k.alias("member"), F.concat(head, plain, html, file).cast("binary").alias("content"))
+    return documents(spark, sf_dir).select("doc_id", F.lit("t").alias("path"), k.alias("member"), F.concat(head, plain, html, file).cast("binary").alias("content"))
 
 
-@query("select doc_id, 'ok' as status, 'note ' || doc_id as subject, 'plain' as body_source, 1 as n_files, sha256('%PDF-1.4 ' || doc_id) as file_hash from documents where text is not null and trim(text) <> ''")
+@query(r"select doc_id, 'ok' as status, 'note ' || doc_id as subject, case when regexp_matches(coalesce(text, ''), '\S') then 'plain' else 'html' end as body_source, 1 as n_files, sha256('%PDF-1.4 ' || doc_id) as file_hash from documents")
 def src01_messages(spark, sf_dir):
     from corvid.sources.messages import parse_messages
 
-    r = parse_messages(eml(spark, sf_dir)).where("trim(body_plain) != ''")
+    r = parse_messages(eml(spark, sf_dir))
     return r.select(F.col("member").cast("long").alias("doc_id"), "status", "subject", "body_source", F.size("attachments").alias("n_files"), F.sha2(F.col("attachments")[0]["payload"], 256).alias("file_hash"))
 
 
