@@ -39,11 +39,15 @@ def brand_table(spark, brands: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame([(i, b) for i, b in enumerate(brands or fixed.BRANDS)], "brand_ord int, brand string")
 
 
+#: Brands that hosts are compared with, at most: their table is broadcast.
+MAX_BRANDS = 1000
+
+
 def lookalikes(hosts: DataFrame, brands: DataFrame, most: int = 2, least_length: int = 5) -> DataFrame:
     """Rows (host, brand, technique, edit_distance) of different hosts (host) against brands (brand_ord, brand).
 
-    Brands are tried in order up to the first that the host belongs to. A broadcast join with the brand list, whose size is
-    fixed; hosts are made distinct first, so the product is of different hosts only. At most one technique for a host and brand:
+    Brands are tried in order up to the first that the host belongs to. A broadcast join with the brand list, of MAX_BRANDS
+    at most; hosts are made distinct first, so the product is of different hosts only. At most one technique for a host and brand:
     a small edit distance, confusable characters, or a deceptive prefix or character exchange.
     """
     h = hosts.select(F.lower("host").alias("host")).distinct().where((F.col("host") != "") & ~urls.ip_host(F.col("host")))
@@ -51,6 +55,8 @@ def lookalikes(hosts: DataFrame, brands: DataFrame, most: int = 2, least_length:
     puny = h.where(F.col("decoded") != F.col("host")).select("host", F.lit("-").alias("brand"), F.lit("punycode_idna").alias("technique"), F.lit(None).cast("int").alias("edit_distance"))
     plain = h.where(F.col("decoded") == F.col("host"))
     lone = plain.where("confusable and norm != host").select("host", F.lit("-").alias("brand"), F.lit("unicode_homoglyph").alias("technique"), F.lit(None).cast("int").alias("edit_distance"))
+    if brands.limit(MAX_BRANDS + 1).count() > MAX_BRANDS:
+        raise ValueError(f"more than {MAX_BRANDS} brands: every host is compared with each")
     b = brands.withColumn("b_sld", urls.sld(F.col("brand")))
     exact = (F.col("host") == F.col("brand")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("brand")))
     j = plain.join(F.broadcast(b), F.lit(True)).withColumn("stop", F.min(F.when(exact, F.col("brand_ord"))).over(Window.partitionBy("host"))).where("stop is null or brand_ord < stop")

@@ -370,11 +370,13 @@ def rcv07_auth_results(spark, sf_dir):
     return headers.auth_results(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")), "c_custkey", "raw").select("c_custkey", "proto", "status")
 
 
-@query()
+@query("""select c_custkey, 'mail' || c_custkey || '.example.com' as from_host, 'mx.example.net' as by_host, 'a@b.com' as for_address, regexp_extract(raw, 'version=(TLSv[0-9.]+)', 1) as tls_version, regexp_extract(raw, 'cipher=([A-Z0-9_]+)', 1) as tls_cipher,
+    strptime(regexp_extract(raw, '; Tue, ([0-9]+ Jan 2024 [0-9:]+)', 1), '%d %b %Y %H:%M:%S') - interval 1 hour as received_at, regexp_extract_all(raw, '\\[([0-9.]+)\\]', 1) as all_ips
+    from (select c_custkey, 'from mail' || c_custkey || '.example.com ([203.0.113.' || (c_custkey % 250) || ']) by mx.example.net. with ESMTPS (version=TLSv1.3 cipher=TLS_AES_256) for <a@b.com>; Tue, 2 Jan 2024 10:00:' || lpad((c_custkey % 60)::varchar, 2, '0') || ' +0100 (CET)' as raw from customer)""")
 def rcv01_hops(spark, sf_dir):
     k = F.col("c_custkey")
     raw = F.concat(F.lit("from mail"), k.cast("string"), F.lit(".example.com ([203.0.113."), F.pmod(k, F.lit(250)).cast("string"), F.lit("]) by mx.example.net. with ESMTPS (version=TLSv1.3 cipher=TLS_AES_256) for <a@b.com>; Tue, 2 Jan 2024 10:00:"), F.lpad(F.pmod(k, F.lit(60)).cast("string"), 2, "0"), F.lit(" +0100 (CET)"))
-    return table(spark, sf_dir, "customer").select("c_custkey", headers.hop(raw).alias("hop")).select("c_custkey", "hop.*")
+    return table(spark, sf_dir, "customer").select("c_custkey", headers.hop(raw).alias("hop")).select("c_custkey", "hop.*").withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------------ links and lookalikes
@@ -385,7 +387,8 @@ def lnk01_hrefs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(links.hrefs(F.col("html"))).alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""select page_id, 1048576::int as ord, url, 'text' as source, lower(regexp_extract(url, '://([^/?#:]*)', 1)) as host, regexp_matches(url, '://[0-9.]+([:/]|$)') as is_ip, '' as shortener from pages
+    union all select page_id, (row_number() over (partition by page_id, n) - 1)::int, u, 'html', lower(regexp_extract(u, '://([^/?#:]*)', 1)), regexp_matches(u, '://[0-9.]+([:/]|$)'), '' from (select page_id, 1 as n, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*["\'']?(https?://[^\s"\''<>]+)', 1)) as u from pages)""")
 def lnk01_links(spark, sf_dir):
     return links.links(table(spark, sf_dir, "pages").withColumn("own", F.concat(F.lit("see "), F.col("url"), F.lit("."))), "page_id", html="html", text="own")
 
@@ -697,7 +700,8 @@ def htm01_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", visible(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""select page_id, regexp_extract(a, 'href="([^"]*)"', 1) as url, trim(replace(replace(replace(regexp_extract(a, '>([^<]*)<', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) as display_text, 'body_action' as role
+    from (select page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) as a from pages)""")
 def lnk09_anchor_roles(spark, sf_dir):
     from corvid.functions.html import anchors
 
@@ -984,7 +988,14 @@ def bcx08_segments(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(body.evidence_segments(F.col("text"))).cast("long").alias("n")).where("n > 0")
 
 
-@query()
+def last_mark(mark: str) -> str:
+    """SQL: where the window w, which ends at e, has its last mark's end; null without one."""
+    return f"case when strpos(reverse(w), reverse({mark})) > 0 then e - strpos(reverse(w), reverse({mark})) + 1 end"
+
+
+@query(f"""with recursive s(doc_id, t, pos, e, piece) as (select doc_id, t, 0, {{0}}, 0 from (select doc_id, coalesce(text, '') as t, 0 as pos from documents), lateral (select least(length(t), pos + 1200) as e), lateral (select substring(t, pos + 781, e - pos - 780) as w) where length(t) > 0
+    union all select doc_id, t, pos, {{0}}, piece + 1 from (select doc_id, t, greatest(pos + 1, e - 150) as pos, piece from s where e < length(t)), lateral (select least(length(t), pos + 1200) as e), lateral (select substring(t, pos + 781, e - pos - 780) as w))
+    select doc_id, piece::int as piece, substring(t, pos + 1, e - pos) as text from s""".replace("{0}", f"case when e < length(t) then coalesce({', '.join(last_mark(m) for m in ('chr(10) || chr(10)', 'chr(10)', repr('. '), repr(' ')))}, e) else e end"))
 def bcx07_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(text.overlapping(F.col("text"), 1200, 150)).alias("piece", "text"))
 
