@@ -36,7 +36,7 @@ WORDS = frozenset(
 NEUTRAL = frozenset("area bar block body bottom box button buttons center col column container content desktop fixed float global group head holder inner item items left link links list main middle mobile mod module outer page panel primary right row secondary section site slot sticky text title top unit view wide widget wrap wrapper zone".split())
 KEPT = frozenset("html body main article".split())
 #: What the density of an element whose name speaks of boilerplate, and of all that it holds, is multiplied by; and how many times the rest of the text it must hold to stay all the same.
-NAMED, FAR = 0.1, 4
+NAMED, FAR = 0.1, 20
 #: Blocks of running text: beside the path within an article they stay, however short.
 TEXTUAL = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup li ol p pre table ul".split())
 SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
