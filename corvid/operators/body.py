@@ -152,5 +152,6 @@ def layer(text: Column) -> Column:
 
 def evidence_segments(text: Column) -> Column:
     """Sentences and lines of 8 characters or more, the first of each apart from case."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), F.trim)
-    return F.transform(F.array_distinct(F.transform(F.filter(parts, lambda x: F.length(x) >= 8), F.lower)), lambda x: x)
+    # by name alone, trim would get an element's place as the characters to take off
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x))
+    return F.array_distinct(F.transform(F.filter(parts, lambda x: F.length(x) >= 8), F.lower))

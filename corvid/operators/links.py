@@ -10,7 +10,7 @@ from corvid.functions import fixed, urls
 
 def hrefs(html: Column) -> Column:
     """The targets of a page's anchors, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']?([^\s\"'<>]+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']?([^\s\"'<>]+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def text_urls(text: Column) -> Column:

@@ -199,6 +199,13 @@ def test_layers(spark):
     assert got[0]["removed_tail"] == 2 and [x for x in got[1]["lines"] if x] == ["top"] and got[2]["lines"] == ["body here"]
 
 
+def test_segments_are_trimmed_of_spaces_only(spark):
+    t = "\n".join(["  Pad to eight "] * 3 + [f"{i}27243074{i}!!" for i in range(12)] + ["pad to EIGHT", "short"])
+    assert column(spark, [t, None], body.evidence_segments) == [["pad to eight"] + [f"{i}27243074{i}!!" for i in range(12)], []]
+    anchors = "".join(f"<a href={i}.example/{i}>x</a>" for i in range(12))
+    assert column(spark, [anchors], links.hrefs) == [[f"{i}.example/{i}" for i in range(12)]]
+
+
 def test_noise(spark):
     rng = random.Random(5)
     noise = "\n".join("".join(rng.choice("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/") for _ in range(600)) for _ in range(9))
