@@ -29,7 +29,12 @@ def vendor_status(malicious: Column, suspicious: Column, harmless: Column) -> Co
 
 
 def utc_minute(epoch: Column) -> Column:
-    return F.concat(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+    """Whole seconds since 1970 as a UTC minute, in any session time zone. Years have four digits at least and no plus sign; seconds whose days don't fit a date give null."""
+    second = F.pmod(epoch, F.lit(86400))
+    day = F.date_from_unix_date(((epoch - second) / 86400).try_cast("int"))
+    year = F.year(day).cast("string")
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    return F.concat(F.when(F.year(day).between(0, 999), F.lpad(year, 4, "0")).otherwise(year), F.lit("-"), two(F.month(day)), F.lit("-"), two(F.day(day)), F.lit(" "), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(F.pmod(second, F.lit(3600)) / 60)), F.lit(" UTC"))
 
 
 def vendor_file(payload: Column) -> Column:

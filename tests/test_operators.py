@@ -206,6 +206,18 @@ def test_segments_are_trimmed_of_spaces_only(spark):
     assert column(spark, [anchors], links.hrefs) == [[f"{i}.example/{i}" for i in range(12)]]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kathmandu"])
+def test_utc_minutes_of_all_years(spark, zone):
+    from corvid.operators import enrich
+
+    seconds = [0, 1_700_000_059, 518_394_000_000, -50_000_000_000, -62_167_219_201, -99_999_999_999, 10**17, None]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert column(spark, seconds, enrich.utc_minute, "long") == ["1970-01-01 00:00 UTC", "2023-11-14 22:14 UTC", "18397-04-02 13:20 UTC", "0385-07-25 07:06 UTC", "-1-12-31 23:59 UTC", "-1199-02-15 14:13 UTC", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_noise(spark):
     rng = random.Random(5)
     noise = "\n".join("".join(rng.choice("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/") for _ in range(600)) for _ in range(9))
