@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,23 +125,52 @@ def verdict(content: Column, identity: Column, technical: Column, classifier: Co
     )
 
 
+def alike(least: float):
+    """A test of (quote, text): whether a passage of text has a ratio of least to quote: as many whole words, or as many characters from anywhere.
+
+    A passage of n characters with a ratio of r has m >= n r characters in common with the quotation, in at most
+    2 (n - m) + 1 runs, so that m - runs of its neighbouring pairs are the quotation's; only passages with as many are compared.
+
+    The test is a closure, which Spark ships by value: workers need not find this package.
+    """
+
+    def test(quote: str, text: str) -> bool:
+        near = difflib.SequenceMatcher(None, quote, "", autojunk=False)
+
+        def fits(passage):
+            near.set_seq2(passage)
+            return near.real_quick_ratio() >= least and near.quick_ratio() >= least and near.ratio() >= least
+
+        n = len(quote)
+        if n >= len(text):
+            if fits(text):
+                return True
+        else:
+            points = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            pairs = lambda x: x[:-1] << 21 | x[1:]
+            same = np.concatenate([[0], np.cumsum(np.isin(pairs(points(text)), pairs(points(quote))))])
+            shared = same[n - 1 :] - same[: len(same) - n + 1]
+            common = math.ceil(least * n - 1e-9)
+            found = np.flatnonzero(shared >= common - 2 * (n - common) - 1)
+            if any(fits(text[i : i + n]) for i in found[np.argsort(-shared[found], kind="stable")].tolist()):
+                return True
+        words, size = text.split(), len(quote.split())
+        return any(fits(" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1)))
+
+    return test
+
+
 def grounded(evidence: Column, message: Column, least: float = 0.82) -> Column:
     """Whether a quotation stands in a message, apart from case and spaces; if not, whether a passage of its length is alike enough."""
 
+    test = alike(least)
+
     @F.pandas_udf("boolean")
     def run(pairs: pd.DataFrame) -> pd.Series:
-        def test(quote, text):
-            words, size = text.split(), len(quote.split())
-            near = difflib.SequenceMatcher(None, quote, "", autojunk=False)
-            for i in range(max(1, len(words) - size + 1)):
-                near.set_seq2(" ".join(words[i : i + size]))
-                if near.real_quick_ratio() >= least and near.quick_ratio() >= least and near.ratio() >= least:
-                    return True
-            return False
-
         return pd.Series([bool(q) and bool(t) and test(q, t) for q, t in zip(pairs["q"], pairs["t"], strict=True)])
 
-    plain = lambda x: F.lower(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " ")))
+    # upper case first: ß is ss then, as it is in a quotation in capitals. A last sigma is one like others; besides, Spark takes lower(upper(x)) for lower(x)
+    plain = lambda x: F.lower(F.replace(F.upper(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))), F.lit("Σ"), F.lit("σ")))
     q, t = plain(evidence), plain(message)
     found = (q != "") & F.contains(t, q)
     # only quotations that aren't found as they are go to Python

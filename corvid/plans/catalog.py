@@ -804,9 +804,9 @@ def pol02_answer_facts(spark, sf_dir):
 
 @query(r"""with q as (select doc_id, trim(regexp_replace(substr(text, 20, 60), '\s+', ' ', 'g')) as q from documents) select doc_id, q <> '' as exact, case when length(q) >= 40 then true end as near from q""")
 def pol03_grounding(spark, sf_dir):
-    quote = text.collapse(F.upper(F.substring("text", 20, 60)))
-    near = F.when(F.length(quote) >= 40, policy.grounded(F.concat(F.substring(quote, 1, 58), F.lit("xx")), F.col("text")))
-    return documents(spark, sf_dir).select("doc_id", policy.grounded(quote, F.col("text")).alias("exact"), near.alias("near"))
+    quote = text.collapse(F.substring("text", 20, 60))  # upper case can be longer
+    near = F.when(F.length(quote) >= 40, policy.grounded(F.concat(F.upper(F.substring(quote, 1, 58)), F.lit("xx")), F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", policy.grounded(F.upper(quote), F.col("text")).alias("exact"), near.alias("near"))
 
 
 @query("select user_id, event_id as section, round(value, 6) as score, event_type from (select *, row_number() over (partition by user_id order by value desc, event_id) as k from events) where k = 1")

@@ -206,6 +206,33 @@ def test_segments_are_trimmed_of_spaces_only(spark):
     assert column(spark, [anchors], links.hrefs) == [[f"{i}.example/{i}" for i in range(12)]]
 
 
+def test_quotations_cut_within_words_and_capitals(spark):
+    from corvid.operators import policy
+
+    hexes = "".join(f"{i * 7919:04x}" for i in range(40))
+    rows = [("SSSS SSSS SS", "ßß ßß ß", True), ("STRASSE UND GRÖSSE", "die Straße und  Größe hier", True), ("ΟΔΟΣ", "η οδοςα", True), (f"es mi docoado token = {hexes[:30]}xx", f"laasr es mi docoado token = {hexes} ende", True), (hexes[40:98] + "xx", hexes, True), (hexes[::-1][:60], hexes, False), ("", "x", False), ("abcdefgh", None, False), ("abcdefghij", "abcdefghi", True)]
+    df = spark.createDataFrame([r[:2] for r in rows], "q string, t string")
+    assert [r[0] for r in df.select(policy.grounded(F.col("q"), F.col("t"))).collect()] == [r[2] for r in rows]
+
+
+def test_pair_filter_loses_no_alike_passage():
+    import difflib
+
+    from corvid.operators import policy
+
+    rng, told = random.Random(5), []
+    for _ in range(400):
+        text = " ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(12))
+        quote = list(text[5:30])
+        for _ in range(rng.randrange(9)):
+            quote[rng.randrange(len(quote))] = rng.choice("abcd x")
+        quote = "".join(quote)
+        want = any(difflib.SequenceMatcher(None, quote, text[i : i + len(quote)], autojunk=False).ratio() >= 0.82 for i in range(len(text) - len(quote) + 1))
+        told.append(want)
+        assert not want or policy.alike(0.82)(quote, text)
+    assert 40 < sum(told) < 360
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Kathmandu"])
 def test_utc_minutes_of_all_years(spark, zone):
     from corvid.operators import enrich
