@@ -149,6 +149,39 @@ def test_campaigns(spark):
     assert {(r["a"], r["b"]) for r in campaigns.edges(rows).collect()} == want and want
 
 
+def test_campaign_links_take_little(spark):
+    """A large group of near copies makes no row for each pair, and what is kept on disk is of the texts' size."""
+    from pathlib import Path
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 10))) for _ in range(900)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(120)]
+    for _ in range(120):
+        near = texts[0].split()
+        near[rng.randrange(300)] = rng.choice(words)
+        texts.append(" ".join(near))
+    rows = spark.createDataFrame([(f"h{i:04}", t) for i, t in enumerate(texts)] + [("h0005", texts[5])], "text_hash string, text string").localCheckpoint()
+    campaigns.campaigns(rows.limit(3)).count()  # a checkpoint folder is there
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    got = {r["text_hash"]: r["campaign_id"] for r in campaigns.campaigns(rows).collect()}
+    assert size() - before < 4 * sum(map(len, texts))
+    assert len(got) == 240 and campaigns.campaigns(rows).count() == 240
+    root = {h: h for h in got}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = campaigns.edges(rows).collect()
+    for r in pairs:
+        root[max(find(r["a"]), find(r["b"]))] = min(find(r["a"]), find(r["b"]))
+    assert got == {h: f"campaign:{find(h)}" for h in got} and len(pairs) > 5000
+    assert campaigns.links(rows).count() <= 240
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=40))
 def test_assignment_places_every_group(sizes):
