@@ -202,6 +202,23 @@ def test_splits_by_campaigns_and_sources(spark):
         campaigns.split_sources(rows.where("source != 'src_c1'"))
 
 
+@pytest.mark.parametrize("name", ["split_campaigns", "split_sources"])
+def test_splits_take_little(spark, name):
+    """What a split keeps on disk is of the size of its texts, which come back whole."""
+    from pathlib import Path
+
+    from corvid.operators import campaigns
+
+    rows = corpus.clean(spark.createDataFrame(made_rows(), "ord int, text string, label int, source string, source_file string")).localCheckpoint()
+    texts = {r["text_hash"]: r["text"] for r in rows.collect()}
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    told = getattr(campaigns, name)(rows).collect()
+    assert size() - before < 12 * sum(map(len, texts.values()))
+    assert len(told) > 50 and all(r["text"] == texts[r["text_hash"]] for r in told)
+
+
 def test_balance_and_build(spark):
     from corvid.operators import campaigns
 
