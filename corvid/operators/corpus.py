@@ -80,7 +80,8 @@ SLIM = ("ord", "source", "source_file", "label", "text_hash")
 
 def first_of(slim: DataFrame, *keys: str) -> DataFrame:
     """The row of slim that comes first of each key: by ord, then by what else it has; a `min` with partial aggregation."""
-    cols = [c for c in slim.columns if c != "m"]
+    # SLIM leads with ord; a join on a key moves that key to the front of slim's own columns
+    cols = [*SLIM, *(c for c in slim.columns if c not in (*SLIM, "m"))]
     counted = slim if "m" in slim.columns else slim.groupBy(*cols).agg(F.count("*").alias("m"))
     return counted.groupBy(*keys).agg(F.min(F.struct(*cols, "m")).alias("w")).select("w.*")
 
