@@ -149,6 +149,51 @@ def test_campaigns(spark):
     assert {(r["a"], r["b"]) for r in campaigns.edges(rows).collect()} == want and want
 
 
+def test_campaign_links_of_short_texts(spark):
+    """Of near copies whose frequent words differ, no link is lost; long texts and short ones are held against each other too."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(5)
+    parts = ["th", "an", "er", "on", "ti", "re", "he", "in", "ed", "nd", "ha", "en", "ou", "ea", "st", "ing", "ble", "sh"]
+    word = lambda: "".join(rng.choices(parts, weights=range(len(parts), 0, -1), k=rng.choice([1, 1, 2, 2, 3, 4])))
+    texts = set()
+    for k in range(260):
+        w = [word() for _ in range(rng.randrange(6, 12) if k else 3000)]
+        texts.add(" ".join(w))
+        for _ in range(3):
+            near = list(w)
+            for _ in range(rng.choice([1, 1, 2])):
+                near.insert(rng.randrange(len(near)), word())
+            texts.add(" ".join(near))
+    texts = sorted(texts)
+    counts = []
+    for t in texts:
+        c = Counter()
+        for w in t.split():
+            p = f" {w} "
+            c.update(p[i : i + n] for n in (4, 5) for i in range(len(p) - n + 1))
+        counts.append(c)
+    df = Counter(g for c in counts for g in c)
+    vectors, posted = [], {}
+    for i, c in enumerate(counts):
+        v = {g: (1 + math.log(k)) * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, k in c.items() if df[g] > 1}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({g: x / norm for g, x in v.items()})
+        for g, x in vectors[-1].items():
+            posted.setdefault(g, []).append((i, x))
+    want = set()
+    for i, v in enumerate(vectors):
+        cosines = Counter()
+        for g, x in v.items():
+            for j, y in posted[g]:
+                cosines[j] += x * y
+        want |= {(texts[i], texts[j]) for j, x in cosines.items() if i < j and x >= 0.83}
+    rows = spark.createDataFrame([(t, t) for t in texts], "text_hash string, text string")
+    got = {(r["a"], r["b"]) for r in campaigns.edges(rows).collect()}
+    assert got == want and len(want) > 300
+
+
 def test_campaign_links_take_little(spark):
     """A large group of near copies makes no row for each pair, and what is kept on disk is of the texts' size."""
     from pathlib import Path
