@@ -194,6 +194,13 @@ def test_campaign_links_of_short_texts(spark):
     assert got == want and len(want) > 300
 
 
+def test_valid_texts_are_normalized_once(spark):
+    """The filters of valid rows do not normalize the texts a second time."""
+    df = spark.createDataFrame([(1, "some é words that are long enough to be kept here", "0", "s", "f")], "ord long, text string, label string, source string, source_file string")
+    plan = corpus.valid(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and corpus.valid(df).count() == 1
+
+
 def test_campaign_links_take_little(spark):
     """A large group of near copies makes no row for each pair, and what is kept on disk is of the texts' size."""
     from pathlib import Path
