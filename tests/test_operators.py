@@ -149,8 +149,8 @@ def test_campaigns(spark):
     assert {(r["a"], r["b"]) for r in campaigns.edges(rows).collect()} == want and want
 
 
-def test_campaign_links_of_short_texts(spark):
-    """Of near copies whose frequent words differ, no link is lost; long texts and short ones are held against each other too."""
+def near_texts():
+    """(texts, the pairs of them that link by brute force): short near copies whose frequent words differ, and some long ones."""
     import math
     from collections import Counter
 
@@ -189,11 +189,25 @@ def test_campaign_links_of_short_texts(spark):
             for j, y in posted[g]:
                 cosines[j] += x * y
         want |= {(texts[i], texts[j]) for j, x in cosines.items() if i < j and x >= 0.83}
+    return texts, want
+
+
+def test_campaign_links_of_short_texts(spark):
+    """No link is lost; long texts and short ones are held against each other too."""
+    texts, want = near_texts()
     rows = spark.createDataFrame([(t, t) for t in texts], "text_hash string, text string")
     got = {(r["a"], r["b"]) for r in campaigns.edges(rows).collect()}
     assert got == want and len(want) > 300
 
 
+def test_split_keeps_linked_texts_together(spark):
+    """Texts that link by brute force have one campaign and one split."""
+    texts, want = near_texts()
+    rows = spark.createDataFrame([(t, t, 0, "s") for t in texts], "text_hash string, text string, label int, source string")
+    told = {r["text_hash"]: (r["campaign_id"], r["split"]) for r in campaigns.split_campaigns(rows).drop("text").collect()}
+    assert len(told) == len(texts) and not [p for p in want if told[p[0]] != told[p[1]]]
+
+
 def test_valid_texts_are_normalized_once(spark):
     """The filters of valid rows do not normalize the texts a second time."""
     df = spark.createDataFrame([(1, "some é words that are long enough to be kept here", "0", "s", "f")], "ord long, text string, label string, source string, source_file string")
